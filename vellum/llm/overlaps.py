@@ -16,17 +16,17 @@ from vellum.runtime import bounded_broadcast, cut
 
 # What may be added to a question without asking for something else,
 # words that only join others, and expressions used for one another.
-ZH_FILLERS = ["附页码", "请作答", "谢谢", "你好", "您好", "问题", "请问", "麻烦", "公开", "题", "请", "烦请", "注明页码"]
+ZH_FILLERS = ["附页码", "请作答", "谢谢", "你好", "您好", "问题", "请问", "麻烦", "公开", "题", "请", "烦请", "注明页码", "问"]
 ZH_LINKS = ["度", "的", "之", "在"]
-ZH_EQUAL = {"列示": "给出", "总共": "合计", "几多": "多少", "平均数": "均值", "年平均": "年均", "平均水平": "均水平", "对比一下": "比较", "比较一下": "比较", "比起": "相比", "标明": "说明", "写明": "注明", "算一下": "求", "根据": "依据", "两": "2", "二位": "2位", "哪年": "哪一年"}
+ZH_EQUAL = {"列示": "给出", "总共": "合计", "几多": "多少", "平均数": "均", "平均值": "均", "均值": "均", "平均": "均", "比率": "率", "对比一下": "比较", "比较一下": "比较", "比起": "相比", "标明": "说明", "写明": "注明", "算一下": "求", "根据": "依据", "两": "2", "二位": "2位", "哪年": "哪一年"}
 EN_FILLERS = ["please", "thanks", "thank", "you", "hi", "hello", "question", "answer", "briefly", "cite", "pages", "kindly"]
 EN_LINKS = ["the", "a", "an", "at", "of", "in", "on", "for", "over", "to", "me", "s", "is"]
 EN_EQUAL = {"avg": "average", "versus": "against", "vs": "against", "compute": "work", "calculate": "work", "sum": "add", "up": "", "out": "", "combined": "together", "tell": "name", "two": "2", "percent": "percentage", "change": "rate", "rate": "rate"}
 
 #: A word is taken for a misspelling of another that is this many times as frequent.
-SPELLING_RATIO = 200
+SPELLING_RATIO = 15
 #: Words in at least this share of the records may have misspellings; so there are at most (words a record) / share of them.
-COMMON_SHARE = 0.0005
+COMMON_SHARE = 0.005
 
 
 def canonical_words(text: Column) -> Column:

@@ -5,22 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vellum.llm import lookalikes
+from vellum.llm import leaks, lookalikes, overlaps, packing, pieces, splits
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Splits of agent_cases.
+TRAINING, EVALUATION = ["calibration"], ["dev", "frozen_test"]
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = lookalikes.fields(spark, table(spark, sf_dir, "extracted_cells"), table(spark, sf_dir, "cell_proofs"))
     return lookalikes.find_lookalikes(cells, table(spark, sf_dir, "label_refs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.split_conflicts(table(spark, sf_dir, "version_manifest"), table(spark, sf_dir, "source_manifest"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(table(spark, sf_dir, "version_manifest"), table(spark, sf_dir, "source_manifest"), table(spark, sf_dir, "split_targets"))[0]
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.cross_split_pairs(table(spark, sf_dir, "agent_cases"), TRAINING, EVALUATION)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.overlapping_pairs(_pairs(spark, sf_dir))
+
+
+def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.overlap_units(_pairs(spark, sf_dir))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.overlap_counts(_pairs(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.found(table(spark, sf_dir, "chunks"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.rechunk(table(spark, sf_dir, "chunks"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_splits, p5_found, p5_overlaps, p5_counts, p6_found, p6_pieces, p7_containers, p8_found)}
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(json_extract_string(payload_json, '$.text')) > 1200 AND chunk_id IS NOT NULL",
+    }

@@ -91,7 +91,8 @@ def issuer_groups(source_manifest: DataFrame, version_manifest: DataFrame, kept:
 
 def _records(version_manifest: DataFrame, groups: DataFrame) -> DataFrame:
     docs = groups.where(F.col("node").startswith("d:")).select(F.expr("substring(node, 3)").alias("document_key"), "root", "group_code")
-    return version_manifest.dropDuplicates().join(docs, "document_key", "left")
+    own = version_manifest.dropDuplicates().select("version_id", "document_key", "split")
+    return salted_join(own, docs, "document_key", "left", spread=F.col("version_id"))
 
 
 def split_conflicts(version_manifest: DataFrame, source_manifest: DataFrame) -> DataFrame:
