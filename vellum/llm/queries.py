@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import leaks, lookalikes, overlaps, packing, pieces, splits
+from vellum.llm import leaks, lookalikes, overlaps, packing, pieces, scans, splits, truncation
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.find_lookalikes(cells, table(spark, sf_dir, "label_refs"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_noise(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "page_quality"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_texts(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "page_quality"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_conflicts(table(spark, sf_dir, "version_manifest"), table(spark, sf_dir, "source_manifest"))
 
@@ -60,7 +68,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_splits, p5_found, p5_overlaps, p5_counts, p6_found, p6_pieces, p7_containers, p8_found)}
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judge(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_documents(_judged(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_shares(_judged(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_paragraphs, p4_found, p4_splits, p5_found, p5_overlaps, p5_counts, p6_found, p6_pieces, p7_containers, p8_found, p9_found, p9_shares)}
 
 
 def queries() -> dict[str, Query]:
