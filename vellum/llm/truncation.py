@@ -25,7 +25,7 @@ LEAST_TEXTS, LEAST_JUMP = 4, 6.0
 
 #: Log odds that an ending adds: a mark or torn remnant; the middle of a sentence; a number
 #: that stops at its point; a closing line without a full stop; the end of a sentence.
-EVIDENCE = {"torn": 9.0, "open": 6.0, "number": 3.0, "closed": -2.0, "whole": -9.0}
+EVIDENCE = {"torn": 9.0, "open": 6.0, "number": 3.0, "closed": -2.0, "whole": -12.0}
 #: Log odds of a cut in transfer for a text at no limit.
 TRANSFER = -3.0
 
@@ -33,20 +33,21 @@ TRANSFER = -3.0
 TORN = r"(?:…|\.{3}|⋯|\[(?:more|\.\.\.|…)\]?|\((?:more|cont)[^)]*\)?|<[a-z/!]*|&[#a-z0-9]*|[（(]未完[^）)]*[）)]?|下转.*|未完待续|\x{FFFD}+|\\u?[0-9a-f]*)$"
 WHOLE = r"[。！？!?．.][”’」』）)\"'\]】]*$"
 CLOSED = (
-    r"(?:^|\n)(?:[^\n]*\t\s*[-+(（]?[0-9][0-9,.]*[)）%％]?|[^\n]{0,12}[0-9]{4}\s*[年./-]\s*[0-9]{1,2}\s*[月./-]\s*[0-9]{1,2}\s*日?|[^\n]*董事会|[^\n]*(?:有限公司|委员会)|"
+    r"(?:^|\n)(?:[^\n]*\t\s*[-+(（]?[0-9][0-9,.]*[)）%％]?|[^\n，。；,;]{0,12}[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[^\n，。；,;0-9]{0,40}(?:董事会|有限公司|委员会)|"
     r"[（(]完[）)]|(?:来源|联系|附件|附表|电话|传真|地址|邮箱|网址|撰文|编辑|注)[^\n。]{0,40}|(?:Source|Contact|Enclosure|Attachment|Tel|Phone|Email|Web|Signed|Dated?|Editor)\b[^\n]{0,60}|https?://\S+|\S+@\S+\.\S+|"
     r"For and on behalf of[^\n]*(?:\n[A-Z][^\n.]{0,60})?|(?:January|February|March|April|May|June|July|August|September|October|November|December|[0-9]{1,2})\s+[A-Z0-9][a-z0-9]*,?\s+[0-9]{4})\s*$"
 )
-TITLE = r"^[^\n。，；！？,;!?]{1,120}$"
+TITLE = r"^(?:[^\n。，；！？]{1,80}(?:公告|报告|通知|说明|决议|摘要|议案|办法|制度|细则|意见|公示|通告|声明|函|书)(?:[（(][^\n]{0,20}[)）])?|(?i:notice|announcement|report|annual|interim|quarterly|notes|minutes|statement|summary|circular|proposal|resolution|letter|press release)\b[^\n.,;!?]{0,120})$"
 
 
 def ending(text: Column) -> Column:
     """Kind of ending: torn, open, number, closed or whole; null for null, empty and blank texts."""
     t = F.regexp_replace(text, r"[\s\x{3000}\x{00A0}\x{FEFF}]+$", "")
     tail = F.right(t, F.lit(200))
-    number = tail.rlike(r"(?:[\x{4e00}-\x{9fff}][0-9,]*|(?:RMB|CNY|USD|EUR|\$|¥)\s?[0-9,]+)\.$|[,.][0-9]*[,.]$") & ~tail.rlike(r"[0-9]\.[0-9]+\.$")
+    # a point after a figure that goes on: after a currency, a preposition or Chinese words, without decimals
+    number = tail.rlike(r"(?:[\x{4e00}-\x{9fff}]|\b(?:RMB|CNY|USD|EUR|by|to|of|at|with|against|than|reached|filed|from|or)\s|[$¥])[0-9]{1,3}(?:,[0-9]{3})*\.$")
     return (
-        F.when(tail == "", None).when(tail.rlike(TORN), "torn").when(number, "number").when(tail.rlike(WHOLE), "whole").when(tail.rlike(CLOSED), "closed").when(t.rlike(TITLE) & ~t.rlike(r"[0-9][.,%][0-9]"), "closed").otherwise("open")
+        F.when(t.isNull() | (t == ""), None).when(tail.rlike(TORN), "torn").when(number, "number").when(tail.rlike(WHOLE), "whole").when(tail.rlike(CLOSED), "closed").when(t.rlike(TITLE), "closed").otherwise("open")
     )
 
 
