@@ -32,3 +32,9 @@ def p1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_units": p1_units, "p1_review": p1_review}
 SQL: dict[str, str] = {}
+
+from vellum.plans import retrieval as _retrieval  # noqa: E402
+
+for _plan in (_retrieval,):
+    QUERIES |= _plan.QUERIES
+    SQL |= _plan.SQL
