@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.runtime import bounded_broadcast
+from vellum.runtime import bounded_broadcast, cut
 
 #: A length is a candidate limit if so large a share of the texts that reach it end there,
 LEAST_HAZARD = 0.15
@@ -42,12 +42,16 @@ TITLE = r"^(?:[^\n。，；！？]{1,80}(?:公告|报告|通知|说明|决议|
 
 def ending(text: Column) -> Column:
     """Kind of ending: torn, open, number, closed or whole; null for null, empty and blank texts."""
-    t = F.regexp_replace(text, r"[\s\x{3000}\x{00A0}\x{FEFF}]+$", "")
+    # only the end is looked at closely; a text that ends in more than 256 blanks is trimmed whole
+    blanks = r"[\s\x{3000}\x{00A0}\x{FEFF}]+$"
+    near = F.regexp_replace(F.right(text, F.lit(256)), blanks, "")
+    t = F.when(text.isNull(), None).when(near != "", near).otherwise(F.regexp_replace(text, blanks, ""))
     tail = F.right(t, F.lit(200))
+    title = F.when(F.char_length(text) <= 256, t.rlike(TITLE)).otherwise(False)
     # a point after a figure that goes on: after a currency, a preposition or Chinese words, without decimals
     number = tail.rlike(r"(?:[\x{4e00}-\x{9fff}]|\b(?:RMB|CNY|USD|EUR|by|to|of|at|with|against|than|reached|filed|from|or)\s|[$¥])[0-9]{1,3}(?:,[0-9]{3})*\.$")
     return (
-        F.when(t.isNull() | (t == ""), None).when(tail.rlike(TORN), "torn").when(number, "number").when(tail.rlike(WHOLE), "whole").when(tail.rlike(CLOSED), "closed").when(t.rlike(TITLE), "closed").otherwise("open")
+        F.when(t.isNull() | (t == ""), None).when(tail.rlike(TORN), "torn").when(number, "number").when(tail.rlike(WHOLE), "whole").when(tail.rlike(CLOSED), "closed").when(title, "closed").otherwise("open")
     )
 
 
@@ -134,7 +138,9 @@ def judge(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sour
     """
     t = F.col(text)
     rows = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.char_length(t).alias("n_char"), F.octet_length(t).alias("n_byte"), ending(t).alias("ending"))
-    limits = source_limits(rows.where(F.col("ending").isNotNull()).select(F.col("s").alias("source"), "n_char", "n_byte"))
+    # the first character that is no blank tells whether there is a text
+    filled = documents.where(t.rlike(r"[^\s\x{3000}\x{00A0}\x{FEFF}]")).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.char_length(t).alias("n_char"), F.octet_length(t).alias("n_byte"))
+    limits = cut(source_limits(filled))
     spread = limits.groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high", "posterior")).alias("limits"))
     joined = rows.join(bounded_broadcast(spread.withColumnRenamed("source", "s")), "s", "left")
     n = lambda x: F.when(x["measure"] == "char", F.col("n_char")).otherwise(F.col("n_byte"))
