@@ -43,7 +43,7 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    keep = F.coalesce(F.col("report_year").isin(2022, 2023, 2024) & (F.col("document_type") == "annual"), F.lit(False))
+    keep = F.coalesce(F.col("report_year").isin(2022, 2023, 2024) & (F.col("document_type") == "annual_report"), F.lit(False))
     return R.bm25(_queries(spark, d), _chunks(spark, d), _index_text(), keep=keep)
 
 
@@ -205,7 +205,7 @@ SQL = {
     "r_term_statistics": f"WITH {_C}, t AS (SELECT chunk_id, unnest({_tokens(_IT)}) AS term FROM c), f AS (SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM f GROUP BY term",
     "r_index_summary": f"WITH {_C} SELECT count(*) AS documents, round(avg(len({_tokens(_IT)})), 6) AS average_length FROM c",
     "r_bm25_top10": _bm25("true"),
-    "r_bm25_filtered": _bm25("coalesce(report_year IN (2022, 2023, 2024) AND document_type = 'annual', false)"),
+    "r_bm25_filtered": _bm25("coalesce(report_year IN (2022, 2023, 2024) AND document_type = 'annual_report', false)"),
     "r_rank_fusion": f"""WITH {_H}, g AS (SELECT query_id, chunk_id, min(lexical_rank) AS lexical_rank, min(dense_rank) AS dense_rank FROM h WHERE query_id IS NOT NULL GROUP BY ALL),
       s AS (SELECT *, coalesce(2.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS raw FROM g)
       SELECT query_id, chunk_id, lexical_rank, dense_rank, round(raw, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, chunk_id) AS INT) AS rank FROM s) WHERE rank <= 10""",
