@@ -34,7 +34,7 @@ LOOK_ALIKES = {
 
 #: What a figure may consist of once its signs are plain.
 PLAIN_FIGURE = r"^[0-9,.%()\-+]+$"
-_PLAIN = r"^[!-~]+( [!-~]+)*$"
+_PLAIN, _RAGGED = r"^[!-~ ]+$", "^ | $|  "
 
 
 def _unseen(c: str) -> bool:
@@ -96,30 +96,32 @@ def unify_texts(texts: DataFrame, column: str) -> DataFrame:
     # the three tables follow from the Unicode version: fewer than 25,000 rows, whatever the data
     dec, alike, marks = (F.broadcast(spark.createDataFrame(t)) for t in (decompositions, look, classes))
     distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
-    plain_already = F.col("text").rlike(_PLAIN)
+    plain_already = F.col("text").rlike(_PLAIN) & ~F.col("text").rlike(_RAGGED)
     ascii_only = distinct.where(plain_already).select("text", F.col("text").alias("plain"))
-    odd = distinct.where(~plain_already)
-    points = odd.select("text", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)."), F.lit(0))).alias("pos", "c"))
+    # a long text is known by its hash while it lies in pieces, so that no row carries it
+    name = F.when(F.char_length("text") <= 64, F.col("text")).otherwise(F.concat(F.lit("\x00"), F.sha2("text", 256)))
+    odd = distinct.where(~plain_already).withColumn("name", name)
+    points = odd.select("name", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)."), F.lit(0))).alias("pos", "c"))
     parts = (
         points.join(dec, "c", "left")
         .withColumn("d", F.coalesce("d", "c"))
-        .select("text", "pos", F.posexplode(F.regexp_extract_all("d", F.lit(r"(?s)."), F.lit(0))).alias("sub", "d1"))
+        .select("name", "pos", F.posexplode(F.regexp_extract_all("d", F.lit(r"(?s)."), F.lit(0))).alias("sub", "d1"))
         .join(alike, "d1", "left")
         .withColumn("d1", F.coalesce("l", "d1"))
         .join(marks, "d1", "left")
-        .select("text", F.struct("pos", "sub", F.coalesce(F.col("ccc").cast("int"), F.lit(0)).alias("ccc"), "d1").alias("p"))
+        .select("name", F.struct("pos", "sub", F.coalesce(F.col("ccc").cast("int"), F.lit(0)).alias("ccc"), "d1").alias("p"))
     )
     # A mark that is not alone on its base, or that no composition takes, needs the general rule below.
     compose = F.str_to_map(F.lit("\x1f".join(f"{a}\x1e{b}" for a, b in pairs)), F.lit("\x1f"), F.lit("\x1e"))
-    rows = parts.groupBy("text").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    rows = parts.groupBy("name").agg(F.sort_array(F.collect_list("p")).alias("p"))
     has_marks = F.exists("p", lambda x: x["ccc"] > 0)
 
-    by_place = Window.partitionBy("text").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    by_place = Window.partitionBy("name").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
     clusters = (
         rows.where(has_marks)
-        .select("text", F.inline("p"))
+        .select("name", F.inline("p"))
         .withColumn("base", F.sum((F.col("ccc") == 0).cast("int")).over(by_place))
-        .groupBy("text", "base")
+        .groupBy("name", "base")
         .agg(F.sort_array(F.collect_list(F.struct("ccc", "pos", "sub", "d1"))).alias("ordered"))
     )
 
@@ -136,10 +138,10 @@ def unify_texts(texts: DataFrame, column: str) -> DataFrame:
 
     start = F.expr("named_struct('done', '', 'base', '', 'rest', '', 'last', 0)")
     general = F.when(F.size("ordered") == 1, F.col("ordered")[0]["d1"]).otherwise(F.aggregate("ordered", start, composed, lambda s: F.concat(s["done"], s["base"], s["rest"])))
-    simple = rows.where(~has_marks).select("text", F.array_join(F.transform("p", lambda x: x["d1"]), "").alias("raw"))
-    whole = clusters.select("text", F.struct("base", general.alias("s")).alias("s"))
-    marked = whole.groupBy("text").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["s"]), "").alias("raw"))
-    rebuilt = odd.join(simple.unionByName(marked), "text", "left")  # a text of unseen characters has no part left
+    simple = rows.where(~has_marks).select("name", F.array_join(F.transform("p", lambda x: x["d1"]), "").alias("raw"))
+    whole = clusters.select("name", F.struct("base", general.alias("s")).alias("s"))
+    marked = whole.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["s"]), "").alias("raw"))
+    rebuilt = odd.join(simple.unionByName(marked), "name", "left")  # a text of unseen characters has no part left
     squeezed = F.trim(F.regexp_replace(F.coalesce("raw", F.lit("")), " {2,}", " "))
     return ascii_only.unionByName(rebuilt.select("text", squeezed.alias("plain")))
 
