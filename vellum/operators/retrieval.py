@@ -134,7 +134,7 @@ GROUP_MARKS = ["合并资产负债表", "合并利润表", "合并现金流量
 
 def statement_scopes(chunks: DataFrame) -> DataFrame:
     """(chunk_id, statement_scope): the scope of the last statement title, carried forward through each document."""
-    context = F.regexp_replace(F.concat(F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), ""), F.substring("text", 1, 800)), r"[ \t\r\n\f\x{3000}]+", "")
+    context = F.regexp_replace(F.concat(F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), ""), F.substring(F.coalesce("text", F.lit("")), 1, 800)), r"[ \t\r\n\f\x{3000}]+", "")
     last = lambda marks: F.greatest(*[F.length(context) - F.length(F.substring_index(context, m, -1)) - F.when(F.contains(context, F.lit(m)), len(m)).otherwise(10**6) for m in marks])
     parent, group = last(PARENT_MARKS), last(GROUP_MARKS)
     mark = F.when((parent < 0) & (group < 0), None).when(parent > group, "parent").otherwise("consolidated")
