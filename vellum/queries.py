@@ -33,12 +33,13 @@ def p1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_units": p1_units, "p1_review": p1_review}
 SQL: dict[str, str] = {}
 
+from vellum.plans import answers as _answers  # noqa: E402
 from vellum.plans import documents as _documents  # noqa: E402
 from vellum.plans import evaluation as _evaluation  # noqa: E402
 from vellum.plans import retrieval as _retrieval  # noqa: E402
 from vellum.plans import streaming as _streaming  # noqa: E402
 from vellum.plans import tables as _tables  # noqa: E402
 
-for _plan in (_retrieval, _documents, _tables, _evaluation, _streaming):
+for _plan in (_retrieval, _documents, _tables, _evaluation, _streaming, _answers):
     QUERIES |= _plan.QUERIES
     SQL |= _plan.SQL
