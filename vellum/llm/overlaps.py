@@ -16,7 +16,7 @@ from vellum.runtime import bounded_broadcast, cut
 
 # What may be added to a question without asking for something else,
 # words that only join others, and expressions used for one another.
-ZH_FILLERS = ["附页码", "请作答", "谢谢", "你好", "您好", "问题", "请问", "麻烦", "公开", "题", "请", "烦请", "注明页码", "问"]
+ZH_FILLERS = ["附页码", "请作答", "谢谢", "你好", "您好", "问题", "请问", "麻烦", "公开", "题", "请", "烦请", "注明页码", "问", "作答"]
 ZH_LINKS = ["度", "的", "之", "在"]
 ZH_EQUAL = {"列示": "给出", "总共": "合计", "几多": "多少", "平均数": "均", "平均值": "均", "均值": "均", "平均": "均", "比率": "率", "对比一下": "比较", "比较一下": "比较", "比起": "相比", "标明": "说明", "写明": "注明", "算一下": "求", "根据": "依据", "两": "2", "二位": "2位", "哪年": "哪一年"}
 EN_FILLERS = ["please", "thanks", "thank", "you", "hi", "hello", "question", "answer", "briefly", "cite", "pages", "kindly"]
