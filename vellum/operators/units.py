@@ -156,6 +156,11 @@ def figures(cell_proofs: DataFrame, agent_cases: DataFrame) -> DataFrame:
     return cells.unionByName(cases)
 
 
+def _own(rows: DataFrame) -> DataFrame:
+    """The columns of figures alone, whatever else a table brings along."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in FIGURE_COLUMNS])
+
+
 def stated_units(rows: DataFrame) -> DataFrame:
     """Adds number, kind, factor100, unit_from: the unit that the row itself states.
 
@@ -206,7 +211,7 @@ def _features(f: pd.DataFrame) -> np.ndarray:
 
 def fit_unit_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """The ensemble, fitted on the stated units of a bounded sample (the rows of smallest hash)."""
-    sample = rows.orderBy(F.xxhash64("record_table", "record_key"), "record_key").limit(sample_rows)
+    sample = _own(rows).orderBy(F.xxhash64("record_table", "record_key"), "record_key").limit(sample_rows)
     known = stated_units(sample).where(F.col("kind").isin(*BASE_UNITS)).select("figure", "number", *_BUCKETS, F.concat_ws("|", "kind", F.col("factor100").cast("string")).alias("y")).toPandas()
     return fit_forest(_features(known), known["y"].to_numpy(str))
 
@@ -226,7 +231,7 @@ def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident:
     they come; an empty table gives an empty table.
     """
     forest = fit_unit_model(rows, sample_rows) if model is None else model
-    stated = stated_units(rows)
+    stated = stated_units(_own(rows))
     open_ = F.col("number").isNotNull() & (F.col("kind").isNull() | (F.col("kind") == "?"))
     kinds = np.array([str(c).split("|")[0] for c in forest.classes])
     factors = [str(c).split("|")[-1] for c in forest.classes]
