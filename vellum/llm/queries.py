@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import leaks, lookalikes, overlaps, packing, pieces, scans, splits, truncation
+from vellum.llm import leaks, lookalikes, overlaps, packing, pieces, scans, splits, textforms, truncation
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +87,20 @@ def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
+def _p4_sql() -> str:
+    """Components as the closure of all edges, which only a small data set bears."""
+    wide, narrow = textforms._WIDE, textforms._ASCII.replace("'", "''")
+    name = f"regexp_replace(upper(regexp_replace(translate(company_name, '{wide}', '{narrow}'), '[ \\x{{3000}}\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\t]', '', 'g')), '^(\\*?ST)+', '')"
+    return f"""WITH RECURSIVE d AS (SELECT DISTINCT document_key, security_code, company_name FROM source_manifest WHERE document_key IS NOT NULL), n AS (SELECT document_key, {name} AS nm FROM d),
+      k AS (SELECT 'd:' || document_key AS a, 'c:' || trim(security_code) AS b FROM d WHERE trim(security_code) <> '' UNION SELECT 'd:' || document_key, 'n:' || nm FROM n WHERE nm <> '' UNION SELECT 'd:' || document_key, 'd:' || document_key FROM version_manifest WHERE document_key IS NOT NULL),
+      e AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+      g AS (SELECT node, min(other) AS root, min(CASE WHEN starts_with(other, 'c:') THEN substr(other, 3) END) AS group_code FROM r WHERE starts_with(node, 'd:') GROUP BY 1),
+      v AS (SELECT DISTINCT version_id, split, root, group_code FROM version_manifest JOIN g ON node = 'd:' || document_key WHERE split IS NOT NULL)
+      SELECT DISTINCT version_id, group_code FROM v WHERE root IN (SELECT root FROM v GROUP BY root HAVING count(DISTINCT split) > 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _p4_sql(),
         "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(json_extract_string(payload_json, '$.text')) > 1200 AND chunk_id IS NOT NULL",
     }
