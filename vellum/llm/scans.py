@@ -37,6 +37,8 @@ HYPHENS, SURE_HYPHENS = "-‐‑¬­", "¬­"
 BUCKETS = 1 << 21
 #: Texts of clean pages that the perceptron is trained on at most, and passes over them.
 TRAINING_TEXTS, PASSES = 1500, 3
+#: Longer texts are not drawn for training, so that the sample has a bound in letters too.
+TRAINING_LETTERS = 20_000
 
 _HAN = re.compile("[" + "".join(k for k in MISREAD_HAN if len(k) == 1) + "".join({v for v in MISREAD_HAN.values() if len(v) == 1}) + "]")
 _WORD = re.compile(r"[A-Za-z0-9\u00ec-\u00ef]*[A-Za-z][A-Za-z0-9\u00ec-\u00ef]*")
@@ -438,10 +440,11 @@ def fit_editor(texts: DataFrame, page_quality: DataFrame, training_texts: int =
     counts = np.zeros(2 * BUCKETS, dtype=np.int32)
     counts[sums["bucket"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**31 - 1)
     clean = page_quality.where("extraction_route = 'native' and coalesce(ocr_char_count, 0) = 0 and not coalesce(needs_ocr, false)").select("document_key", F.col("page_number").alias("page_start")).distinct()
-    sample = texts.join(clean, ["document_key", "page_start"]).select("text", "text_id").orderBy("text_id").limit(training_texts).select("text")
+    usual = texts.where(F.char_length("text") <= TRAINING_LETTERS)
+    sample = usual.join(clean, ["document_key", "page_start"]).select("text", "text_id").orderBy("text_id").limit(training_texts).select("text")
     rows = [r["text"] for r in sample.collect()]
     if len(rows) < training_texts // 10:
-        rows += [r["text"] for r in texts.select("text", "text_id").orderBy("text_id").limit(training_texts).collect()]
+        rows += [r["text"] for r in usual.select("text", "text_id").orderBy("text_id").limit(training_texts).collect()]
     return train_editor(rows, counts)
 
 
