@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -31,18 +31,19 @@ def stratified(rows: DataFrame, dimensions: list[str], success: Column) -> DataF
     return grouped.select(F.col("k.d").alias("dimension"), F.col("k.s").alias("stratum"), "cases", "successes", F.round(F.try_divide("successes", "cases"), 6).alias("rate"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
 
 
-def clustered_bootstrap(rows: DataFrame, cluster: str, value: str, *, samples: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def clustered_bootstrap(rows: DataFrame, cluster: str, value: str, *, samples: int = 2000, confidence: float = 0.95, seed: int = 0, most_units: int = 4096) -> DataFrame:
     """One row (low, high, clusters): percentile interval of the mean, whole clusters drawn with replacement.
 
-    Clusters are summed up first.  Each draw picks a place in the list of clusters by a
+    Clusters are summed up first; of more than `most_units`, those whose hashes fall
+    together are drawn together, so that the number of units has a bound.  Each draw picks a place in the list of clusters by a
     hash of seed, sample and draw, so the result depends on nothing else.  Clusters are
     spread over samples by an equi-join on their place.  Fewer than two clusters give nulls.
     """
     spark = rows.sparkSession
-    sums = rows.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("c")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    placed = sums.withColumn("place", F.row_number().over(Window.orderBy("c")) - 1)  # one row a cluster, sums only
+    sums = rows.where(F.col(value).isNotNull()).groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    if sums.limit(most_units + 1).count() > most_units:
+        sums = sums.groupBy(F.pmod(F.xxhash64("c"), F.lit(most_units)).cast("string").alias("c")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    placed = sums.withColumn("place", F.row_number().over(Window.orderBy("c")) - 1)  # at most most_units rows
     total = placed.count()
     if total < 2:
         return spark.createDataFrame([(None, None, total)], "low double, high double, clusters long")
