@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.runtime import cut
+
 Z95 = 1.959963984540054
 
 
@@ -31,23 +33,29 @@ def stratified(rows: DataFrame, dimensions: list[str], success: Column) -> DataF
     return grouped.select(F.col("k.d").alias("dimension"), F.col("k.s").alias("stratum"), "cases", "successes", F.round(F.try_divide("successes", "cases"), 6).alias("rate"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
 
 
-def clustered_bootstrap(rows: DataFrame, cluster: str, value: str, *, samples: int = 2000, confidence: float = 0.95, seed: int = 0, most_units: int = 4096) -> DataFrame:
+#: Draws of a sample are listed in blocks of this many, so that no array grows with the number of clusters.
+DRAWS = 65_536
+
+
+def clustered_bootstrap(rows: DataFrame, cluster: str, value: str, *, samples: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row (low, high, clusters): percentile interval of the mean, whole clusters drawn with replacement.
 
-    Clusters are summed up first; of more than `most_units`, those whose hashes fall
-    together are drawn together, so that the number of units has a bound.  Each draw picks a place in the list of clusters by a
+    Clusters are summed up first, one row each however many there are, and numbered in their order in
+    two levels (ranges, rows of a range).  Each draw picks a place in the list of clusters by a
     hash of seed, sample and draw, so the result depends on nothing else.  Clusters are
     spread over samples by an equi-join on their place.  Fewer than two clusters give nulls.
     """
     spark = rows.sparkSession
     sums = rows.where(F.col(value).isNotNull()).groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    if sums.limit(most_units + 1).count() > most_units:
-        sums = sums.groupBy(F.pmod(F.xxhash64("c"), F.lit(most_units)).cast("string").alias("c")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    placed = sums.withColumn("place", F.row_number().over(Window.orderBy("c")) - 1)  # at most most_units rows
-    total = placed.count()
+    ranges = cut(sums.repartitionByRange("c").withColumn("range", F.spark_partition_id()))  # cut: the bounds come from a sample
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("size"))  # one row a partition
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if total < 2:
         return spark.createDataFrame([(None, None, total)], "low double, high double, clusters long")
-    draws = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("draw")).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "sample", "draw"), F.lit(total)))
+    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+    placed = ranges.join(F.broadcast(before), "range").select("s", "n", (F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("c")) - 1).alias("place"))
+    blocks = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(DRAWS))).alias("first"))
+    draws = blocks.select("sample", F.explode(F.sequence("first", F.least(F.col("first") + (DRAWS - 1), F.lit(total - 1)))).alias("draw")).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "sample", "draw"), F.lit(total)))
     means = draws.join(placed, "place").groupBy("sample").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     tail = (1 - confidence) / 2
     low, high = max(0, int(tail * samples)), min(samples - 1, int((1 - tail) * samples) - 1)
