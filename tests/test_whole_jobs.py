@@ -1,8 +1,20 @@
 """Operators and queries do the whole job, where they once did a part of it."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from vellum.operators import evaluation
+from vellum.operators import evaluation, retrieval
+from vellum.plans import retrieval as retrieval_plans
+
+DATA = "/root/testdata/sf0.01"
+
+
+def oracle(sql):
+    """Rows of a statement over the tables of the data set."""
+    c = duckdb.connect()
+    for t in ("agent_cases", "chunks", "search_hits"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return sorted(c.execute(sql).fetchall())
 
 
 def test_bootstrap_draws_every_cluster(spark):
@@ -13,3 +25,18 @@ def test_bootstrap_draws_every_cluster(spark):
     draws = spark.range(samples).select("id", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("draw")).select("id", F.pmod(F.xxhash64(F.lit(0), "id", "draw"), F.lit(many)).alias("place")).toPandas()
     means = sorted(draws["place"].map(sums.__getitem__).groupby(draws["id"]).mean() / 2)
     assert got["clusters"] == many and abs(got["low"] - means[0]) < 1e-9 and abs(got["high"] - means[18]) < 1e-9
+
+
+def test_page_windows_take_every_hit(spark):
+    part = f" WHERE hit_id % {retrieval_plans.EVERY} = 0"  # the SQL still has the cut
+    sql = retrieval_plans.SQL["r_page_windows"]
+    assert part in sql
+    got = sorted(tuple(r) for r in retrieval_plans.page_windows(spark, DATA).collect())
+    assert got == oracle(sql.replace(part, "")) and len(got) > len(oracle(sql))
+
+
+def test_page_windows_meet_once_over_many_buckets(spark):
+    rows = [("a", "d", 0, 5, 40), ("b", "d", 1, 1, 60), ("c", "d", 2, 41, 41), ("x", "d", 3, 43, 50), ("n", "d", 4, None, 9), ("o", "e", 0, 5, 40)]
+    c = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, page_start int, page_end int")
+    got = retrieval.page_windows(c.where("chunk_id = 'a'"), c).orderBy("position").collect()
+    assert [(r["chunk_id"], r["position"]) for r in got] == [("a", 1), ("b", 2), ("c", 3)]

@@ -116,13 +116,26 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_i
     return top(result, "query_id", [F.col("raw").desc(), F.col("vec_id")], k).select("query_id", "vec_id", F.round("raw", 6).alias("score"), "rank")
 
 
+#: Pages of a document that meet in one task; most chunks lie on one or two.
+PAGE_BUCKET = 8
+
+
 def page_windows(anchors: DataFrame, chunks: DataFrame, *, before: int = 1, after: int = 1, most: int = 12) -> DataFrame:
     """(anchor_id, chunk_id, position): chunks of the anchor's document that touch its pages and those beside them.
 
-    Of more than `most` the nearest by index stay; positions follow the index.
+    Of more than `most` the nearest by index stay; positions follow the index.  Anchors and chunks meet by
+    document and bucket of pages, so that a long document is spread over tasks; of the buckets a pair has
+    in common the first counts.
     """
+
+    def buckets(rows: DataFrame, first: str, last: str, name: str) -> DataFrame:
+        bucket = lambda c: F.floor(c / PAGE_BUCKET)
+        own = rows.where(F.col(first).isNotNull() & F.col(last).isNotNull()).withColumn(name, bucket(F.least(first, last)))
+        return own.withColumn("bucket", F.explode(F.sequence(name, bucket(F.greatest(first, last)))))
+
     a = anchors.select(F.col("chunk_id").alias("anchor_id")).distinct().join(chunks.select(F.col("chunk_id").alias("anchor_id"), "document_id", F.col("chunk_index").alias("at"), F.greatest(F.col("page_start") - before, F.lit(1)).alias("low"), (F.col("page_end") + after).alias("high")), "anchor_id")
-    near = a.join(chunks.select("document_id", "chunk_id", "chunk_index", "page_start", "page_end"), "document_id").where("page_end >= low and page_start <= high")
+    c = chunks.select("document_id", "chunk_id", "chunk_index", "page_start", "page_end")
+    near = buckets(a, "low", "high", "a_first").join(buckets(c, "page_start", "page_end", "c_first"), ["document_id", "bucket"]).where("page_end >= low and page_start <= high and bucket = greatest(a_first, c_first)")
     kept = top(near, "anchor_id", [F.abs(F.col("chunk_index") - F.col("at")), F.col("chunk_index"), F.col("chunk_id")], most, "nearness")
     return kept.select("anchor_id", "chunk_id", F.row_number().over(Window.partitionBy("anchor_id").orderBy("chunk_index", "chunk_id")).alias("position"))
 

@@ -58,7 +58,7 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_windows(spark: SparkSession, d: str) -> DataFrame:
-    return R.page_windows(_hits(spark, d).where(F.col("hit_id") % EVERY == 0), _chunks(spark, d))
+    return R.page_windows(_hits(spark, d), _chunks(spark, d))
 
 
 def statement_scopes(spark: SparkSession, d: str) -> DataFrame:
