@@ -1,9 +1,12 @@
 """Operators and queries do the whole job, where they once did a part of it."""
 
+import difflib
+
 import duckdb
 from pyspark.sql import functions as F
 
 from vellum.operators import evaluation, retrieval
+from vellum.plans import answers as answer_plans
 from vellum.plans import retrieval as retrieval_plans
 
 DATA = "/root/testdata/sf0.01"
@@ -40,3 +43,11 @@ def test_page_windows_meet_once_over_many_buckets(spark):
     c = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, page_start int, page_end int")
     got = retrieval.page_windows(c.where("chunk_id = 'a'"), c).orderBy("position").collect()
     assert [(r["chunk_id"], r["position"]) for r in got] == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_claim_similarity_compares_whole_texts(spark):
+    pairs = oracle("""SELECT q.query_id, query, text FROM (SELECT case_id AS query_id, min(query) AS query FROM agent_cases WHERE query IS NOT NULL GROUP BY 1) q
+      JOIN (SELECT query_id, min(text) AS text FROM search_hits WHERE hit_rank = 1 AND query_id IS NOT NULL AND text IS NOT NULL GROUP BY 1) h ON h.query_id = q.query_id""")
+    want = {i: round(difflib.SequenceMatcher(None, q, t, autojunk=False).ratio(), 6) for i, q, t in pairs}
+    assert any(len(t) > 200 for _, _, t in pairs)
+    assert dict(answer_plans.claim_similarity(spark, DATA).collect()) == want

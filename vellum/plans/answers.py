@@ -60,7 +60,7 @@ def period_growth(spark: SparkSession, d: str) -> DataFrame:
 
 def claim_similarity(spark: SparkSession, d: str) -> DataFrame:
     q = _h(spark, d).where("hit_rank = 1").groupBy("query_id").agg(F.min("text").alias("text"))
-    return q.join(_q(spark, d), "query_id").select("query_id", F.round(A.similarity(F.col("query"), F.substring("text", 1, 200)), 6).alias("similarity"))
+    return q.join(_q(spark, d), "query_id").select("query_id", F.round(A.similarity(F.col("query"), F.col("text")), 6).alias("similarity"))
 
 
 QUERIES = {f"a_{f.__name__}": f for f in (metric_mentions, amounts, clarifications, support, citations, values_found, signed_numbers, period_growth, claim_similarity)}
