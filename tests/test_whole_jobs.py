@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import evaluation, retrieval
 from vellum.plans import answers as answer_plans
+from vellum.plans import evidence as evidence_plans
 from vellum.plans import retrieval as retrieval_plans
 
 DATA = "/root/testdata/sf0.01"
@@ -51,3 +52,11 @@ def test_claim_similarity_compares_whole_texts(spark):
     want = {i: round(difflib.SequenceMatcher(None, q, t, autojunk=False).ratio(), 6) for i, q, t in pairs}
     assert any(len(t) > 200 for _, _, t in pairs)
     assert dict(answer_plans.claim_similarity(spark, DATA).collect()) == want
+
+
+def test_claim_checks_read_whole_texts(spark):
+    part = "substr(t, 1, 200) AS c"  # the SQL still has the cut
+    sql = evidence_plans.SQL["v_claim_checks"]
+    assert part in sql
+    got = sorted(tuple(r) for r in evidence_plans.claim_checks(spark, DATA).collect())
+    assert got == oracle(sql.replace(part, "t AS c")) and got != oracle(sql)

@@ -51,9 +51,9 @@ def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_checks(spark: SparkSession, d: str) -> DataFrame:
-    """The first hit's opening as a claim, checked against the second hit and the question."""
+    """The first hit's text as a claim, checked against the second hit and the question."""
     at = lambda k: _h(spark, d).where(F.col("hit_rank") == k).groupBy("query_id").agg(F.min("text").alias(f"t{k}"))
-    rows = at(1).join(at(2), "query_id").join(_q(spark, d), "query_id").withColumn("risks", E.claim_risks(F.substring("t1", 1, 200), F.col("t2"), F.col("query")))
+    rows = at(1).join(at(2), "query_id").join(_q(spark, d), "query_id").withColumn("risks", E.claim_risks(F.col("t1"), F.col("t2"), F.col("query")))
     return rows.select("query_id", F.array_join(F.transform("risks", lambda r: r["check"]), ",").alias("checks"), E.verdict(F.col("risks")).alias("verdict"))
 
 
