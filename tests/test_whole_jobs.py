@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import evaluation, retrieval
 from vellum.plans import answers as answer_plans
+from vellum.plans import evaluation as evaluation_plans
 from vellum.plans import evidence as evidence_plans
 from vellum.plans import retrieval as retrieval_plans
 
@@ -60,3 +61,10 @@ def test_claim_checks_read_whole_texts(spark):
     assert part in sql
     got = sorted(tuple(r) for r in evidence_plans.claim_checks(spark, DATA).collect())
     assert got == oracle(sql.replace(part, "t AS c")) and got != oracle(sql)
+
+
+def test_bootstrap_query_takes_the_default_samples(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(evaluation, "clustered_bootstrap", lambda *a, **k: asked.append(k))
+    evaluation_plans.bootstrap_interval(spark, DATA)
+    assert asked == [{}]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.runtime import cut
+from vellum.runtime import BROADCAST_ROWS, cut
 
 Z95 = 1.959963984540054
 
@@ -56,7 +56,8 @@ def clustered_bootstrap(rows: DataFrame, cluster: str, value: str, *, samples: i
     placed = ranges.join(F.broadcast(before), "range").select("s", "n", (F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("c")) - 1).alias("place"))
     blocks = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(DRAWS))).alias("first"))
     draws = blocks.select("sample", F.explode(F.sequence("first", F.least(F.col("first") + (DRAWS - 1), F.lit(total - 1)))).alias("draw")).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "sample", "draw"), F.lit(total)))
-    means = draws.join(placed, "place").groupBy("sample").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    # Spark takes the draws, which it can't count, for the small side
+    means = draws.join(placed.hint("broadcast" if total <= BROADCAST_ROWS else "shuffle_hash"), "place").groupBy("sample").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     tail = (1 - confidence) / 2
     low, high = max(0, int(tail * samples)), min(samples - 1, int((1 - tail) * samples) - 1)
     return means.select(F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"), F.lit(total).cast("long").alias("clusters"))

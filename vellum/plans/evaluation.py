@@ -51,7 +51,7 @@ def metric_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     rows = _answered(spark, d).select(F.coalesce(F.get("evidence_sources", F.lit(0))["document_key"], F.lit("")).alias("cluster"), F.col("found").cast("double").alias("v"))
-    return E.clustered_bootstrap(rows, "cluster", "v", samples=500)
+    return E.clustered_bootstrap(rows, "cluster", "v")
 
 
 def run_comparison(spark: SparkSession, d: str) -> DataFrame:
