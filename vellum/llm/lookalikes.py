@@ -33,8 +33,8 @@ LOOK_ALIKES = {
 }
 
 #: What a figure may consist of once its signs are plain.
-PLAIN_FIGURE = r"^[0-9,.%()\-+]+$"
-_PLAIN, _RAGGED = r"^[!-~ ]+$", "^ | $|  "
+PLAIN_FIGURE = r"^[0-9,.%()\-+]+\z"
+_PLAIN, _RAGGED = r"^[!-~ ]+\z", r"^ | \z|  "
 
 
 def _unseen(c: str) -> bool:
