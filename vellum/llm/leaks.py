@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Items of one pass; more are taken in further passes over the documents.
@@ -229,7 +229,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", t
     """(doc_id, item_id): the documents that hold a stretch of an item's text.
 
     items: item_id, lang, text.  The items are a query set against all documents: they are
-    read to the driver in blocks of `block_items` (ordered by item_id) and sent to all
+    read to the driver in blocks of `block_items` (ordered by item_id, text, lang) and sent to all
     executors, one pass over the documents a block, so no pass holds more than a block.
     rules: by lang of the item; an unlisted or null lang takes the rule of `other`.
     Null and empty texts hold nothing; repeated rows count once; texts are read whole.
@@ -237,17 +237,24 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", t
     spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null and t is not null and t <> ''")
     kind = {"d": rows.schema["doc_id"].dataType.simpleString(), "i": items.schema["item_id"].dataType.simpleString()}
-    wanted = items.select("item_id", "lang", "text").where("item_id is not null and text is not null").distinct()
+    lang = F.when(F.col("lang").isin(*rules), F.col("lang")).otherwise(F.lit(other)).alias("lang")
+    wanted = items.select("item_id", lang, "text").where("item_id is not null and text is not null").distinct()
     total = wanted.count()
+
+    def later(row: Row) -> Column:
+        """Rows after this one; an item's rows may lie in several blocks."""
+        item, text, lang = F.col("item_id"), F.col("text"), F.col("lang")
+        return (item > row["item_id"]) | (item == row["item_id"]) & ((text > row["text"]) | (text == row["text"]) & (lang > row["lang"]))
+
     result = None
     after = None
     for _ in range(max(1, -(-total // block_items))):
-        block = (wanted if after is None else wanted.where(F.col("item_id") > after)).orderBy("item_id", "text").limit(block_items).collect()
-        after = block[-1]["item_id"] if block else None
+        block = (wanted if after is None else wanted.where(later(after))).orderBy("item_id", "text", "lang").limit(block_items).collect()
+        after = block[-1] if block else None
         table = letter_table()
         indexes = []
         for name, rule in rules.items():
-            own = [(r["item_id"], _letters(r["text"], table)) for r in block if (r["lang"] if r["lang"] in rules else other) == name]
+            own = [(r["item_id"], _letters(r["text"], table)) for r in block if r["lang"] == name]
             own = [(i, t) for i, t in own if len(t) >= rule.stretch]
             indexes.append(Index(rule, [i for i, _ in own], [t for _, t in own]))
         sent = spark.sparkContext.broadcast((indexes, table))
