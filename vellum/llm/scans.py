@@ -249,8 +249,6 @@ def edits(text: str, editor: Editor) -> tuple[list[Edit], list[tuple[int, int]]]
 
 def _word_edit(word: str, editor: Editor) -> tuple[str, int, int, str] | None:
     """(right word, place, length, replacement) of a misread word."""
-    if editor.count("w", word.lower()) > 2000:
-        return None
     best = editor.repaired_word(word)
     if not best:
         return None
