@@ -2,9 +2,11 @@
 
 For each source a right-censored log-normal is fitted to its lengths, in characters and
 in bytes, by maximum likelihood (EM over the histogram); the lengths where the hazard
-jumps are the candidate limits.  A text at a limit gets the posterior that it was
-censored there, any other the source's rate of cuts in transfer, and the evidence of the
-ending is added on the scale of log odds.
+jumps are the candidate limits.  A text at a limit has the posterior that it was censored
+there as its prior of a cut, any other the rate at which its source is cut in transfer.
+The ending multiplies it by a likelihood ratio that is estimated for each source: how
+often texts of the source end so where they are broken off at a random place, against how
+often its whole texts end so.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ LEAST_HAZARD = 0.15
 #: and if at least so many texts, and so many times the neighbouring lengths' average, do.
 LEAST_TEXTS, LEAST_JUMP = 4, 6.0
 
-#: Log odds that an ending adds: a mark or torn remnant; the middle of a sentence; a number
-#: that stops at its point; a closing line without a full stop; the end of a sentence.
-EVIDENCE = {"torn": 9.0, "open": 6.0, "number": 3.0, "closed": -2.0, "whole": -12.0}
-#: Log odds of a cut in transfer for a text at no limit.
-TRANSFER = -3.0
+#: The share of a source's texts that transfer may cut at no limit; what ends openly beyond it is the source's style.
+MOST_TRANSFER = 0.25
+#: Texts' worth of weight that the average over all sources has in the estimates of one source.
+SHRINK = 100.0
+#: Kinds of ending whose meaning is estimated.  A text that ends in a mark or remnant of a cut is cut, and one
+#: that ends with a full sentence is not, whatever its length: that is what being cut means here.
+OPEN_KINDS = ["open", "number", "closed"]
+
+BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # What stands after a cut, and the lines that close a text without a full stop.
 TORN = r"(?:…|\.{3}|⋯|\[(?:more|\.\.\.|…)\]?|\((?:more|cont)[^)]*\)?|<[a-z/!]*|&[#a-z0-9]*|[（(]未完[^）)]*[）)]?|下转.*|未完待续|\x{FFFD}+|\\u?[0-9a-f]*)$"
@@ -40,19 +46,19 @@ CLOSED = (
 TITLE = r"^(?:[^\n。，；！？]{1,80}(?:公告|报告|通知|说明|决议|摘要|议案|办法|制度|细则|意见|公示|通告|声明|函|书)(?:[（(][^\n]{0,20}[)）])?|(?i:notice|announcement|report|annual|interim|quarterly|notes|minutes|statement|summary|circular|proposal|resolution|letter|press release)\b[^\n.,;!?]{0,120})$"
 
 
-def ending(text: Column) -> Column:
-    """Kind of ending: torn, open, number, closed or whole; null for null, empty and blank texts."""
-    # only the end is looked at closely; a text that ends in more than 256 blanks is trimmed whole
-    blanks = r"[\s\x{3000}\x{00A0}\x{FEFF}]+$"
-    near = F.regexp_replace(F.right(text, F.lit(256)), blanks, "")
-    t = F.when(text.isNull(), None).when(near != "", near).otherwise(F.regexp_replace(text, blanks, ""))
-    tail = F.right(t, F.lit(200))
-    title = F.when(F.char_length(text) <= 256, t.rlike(TITLE)).otherwise(False)
+def with_ending(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the kind of ending of a text: torn, open, number, closed or whole; null for null, empty and blank texts.
+
+    Step by step, so that the trimmed text and its last two lines (whole) are cut out once.
+    """
+    t, tail = F.col("__t"), F.col("__tail")
+    cut_out = rows.withColumn("__t", F.rtrim(F.col(text), F.lit(BLANKS))).withColumn("__tail", F.substring_index(t, "\n", -2))
     # a point after a figure that goes on: after a currency, a preposition or Chinese words, without decimals
     number = tail.rlike(r"(?:[\x{4e00}-\x{9fff}]|\b(?:RMB|CNY|USD|EUR|by|to|of|at|with|against|than|reached|filed|from|or)\s|[$¥])[0-9]{1,3}(?:,[0-9]{3})*\.$")
-    return (
-        F.when(t.isNull() | (t == ""), None).when(tail.rlike(TORN), "torn").when(number, "number").when(tail.rlike(WHOLE), "whole").when(tail.rlike(CLOSED), "closed").when(title, "closed").otherwise("open")
+    kind = (
+        F.when(t.isNull() | (t == ""), None).when(tail.rlike(TORN), "torn").when(number, "number").when(tail.rlike(WHOLE), "whole").when(tail.rlike(CLOSED), "closed").when(t.rlike(TITLE), "closed").otherwise("open")
     )
+    return cut_out.withColumn(name, kind).drop("__t", "__tail")
 
 
 def _fit(lengths: np.ndarray, counts: np.ndarray, slack: int) -> list[tuple[int, int, float, int]]:
@@ -129,27 +135,59 @@ def source_limits(measured: DataFrame) -> DataFrame:
     return histogram.groupBy("source", "measure").applyInPandas(fit, "source string, measure string, low int, high int, posterior double, texts long")
 
 
+def _profiles(rows: DataFrame) -> DataFrame:
+    """(s, transfer, ratio_open, ratio_number, ratio_closed): what the endings of each source say.
+
+    rows: s, posterior, ending, broken (the ending of the text broken off at a random place).
+    Texts at no limit are a mixture of those cut in transfer, which end like broken ones, and
+    whole ones; the transfer rate is the largest that their open endings allow, at most
+    MOST_TRANSFER.  One row a source, counted before it is shuffled.
+    """
+    free = F.col("posterior") == 0
+    counts = [F.count_if(free).alias("n"), F.count("broken").alias("m")]
+    for k in OPEN_KINDS:
+        counts += [F.count_if(free & (F.col("ending") == k)).alias(f"n_{k}"), F.count_if(F.col("broken") == k).alias(f"m_{k}")]
+    by_source = rows.where("ending is not null").groupBy("s").agg(*counts)
+    sums = by_source.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in by_source.columns[1:]]).first()
+
+    def shrunk(count: str, of: str) -> Column:
+        return (F.col(count) + SHRINK * sums[count] / max(sums[of], 1)) / (F.col(of) + SHRINK)
+
+    broken = {k: shrunk(f"m_{k}", "m") for k in OPEN_KINDS}
+    seen = {k: shrunk(f"n_{k}", "n") for k in OPEN_KINDS}
+    transfer = F.least(F.lit(MOST_TRANSFER), seen["open"] / F.greatest(broken["open"], F.lit(1e-6)))
+    out = by_source.withColumn("transfer", transfer)
+    least = 0.5 / (F.col("n") + SHRINK)
+    for k in OPEN_KINDS:
+        whole = F.greatest(seen[k] - F.col("transfer") * broken[k], least) / (1 - F.col("transfer"))
+        out = out.withColumn(f"ratio_{k}", broken[k] / whole)
+    return out.select("s", "transfer", *[f"ratio_{k}" for k in OPEN_KINDS])
+
+
 def judge(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, ending, posterior, odds, cut) for every row of documents.
 
     posterior: of censoring at a limit, 0 at none.  cut: whether the log odds of a cut,
-    posterior and ending together, are above 0.  Null, empty and blank texts are never
-    cut and take no part in the fit; a null source is a source of its own.
+    prior and likelihood ratio of the ending together, are above 0.  Null, empty and blank
+    texts are never cut and take no part in the fit; a null source is a source of its own.
+    The texts are read once, whole; what goes on is their lengths and kinds of ending.
     """
-    t = F.col(text)
-    rows = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.char_length(t).alias("n_char"), F.octet_length(t).alias("n_byte"), ending(t).alias("ending"))
-    # the first character that is no blank tells whether there is a text
-    filled = documents.where(t.rlike(r"[^\s\x{3000}\x{00A0}\x{FEFF}]")).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.char_length(t).alias("n_char"), F.octet_length(t).alias("n_byte"))
-    limits = cut(source_limits(filled))
+    t, n = F.col("t"), F.char_length("t")
+    at = F.when(n > 1, F.pmod(F.xxhash64(t), n - 1).cast("int") + 1)
+    read = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.col(text).alias("t"))
+    read = with_ending(read.withColumn("start", F.substr(t, F.lit(1), at)), "start", "broken")
+    rows = cut(with_ending(read, "t", "ending").select("doc_id", "source", "s", n.alias("n_char"), F.octet_length(t).alias("n_byte"), "ending", "broken"))
+    limits = cut(source_limits(rows.where("ending is not null").select(F.col("s").alias("source"), "n_char", "n_byte")))
     spread = limits.groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high", "posterior")).alias("limits"))
     joined = rows.join(bounded_broadcast(spread.withColumnRenamed("source", "s")), "s", "left")
-    n = lambda x: F.when(x["measure"] == "char", F.col("n_char")).otherwise(F.col("n_byte"))
-    hit = F.filter("limits", lambda x: (n(x) >= x["low"]) & (n(x) <= x["high"]))
-    posterior = F.coalesce(F.array_max(F.transform(hit, lambda x: x["posterior"])), F.lit(0.0))
-    clipped = F.least(F.greatest("posterior", F.lit(1e-4)), F.lit(0.9999))
-    prior = F.greatest(F.log(clipped / (1 - clipped)), F.lit(TRANSFER))
-    weight = F.coalesce(*[F.when(F.col("ending") == k, F.lit(v)) for k, v in EVIDENCE.items()])
-    return joined.withColumn("posterior", posterior).withColumn("odds", prior + weight).select("doc_id", "source", "ending", "posterior", "odds", F.coalesce(F.col("odds") > 0, F.lit(False)).alias("cut"))
+    length = lambda x: F.when(x["measure"] == "char", F.col("n_char")).otherwise(F.col("n_byte"))
+    hit = F.filter("limits", lambda x: (length(x) >= x["low"]) & (length(x) <= x["high"]))
+    placed = joined.withColumn("posterior", F.coalesce(F.array_max(F.transform(hit, lambda x: x["posterior"])), F.lit(0.0)))
+    known = placed.join(bounded_broadcast(cut(_profiles(placed))), "s", "left")
+    prior = F.least(F.when(F.col("posterior") > 0, F.col("posterior")).otherwise(F.col("transfer")), F.lit(0.9999))
+    ratio = F.coalesce(*[F.when(F.col("ending") == k, F.col(f"ratio_{k}")) for k in OPEN_KINDS])
+    odds = F.when(F.col("ending") == "torn", F.lit(math.inf)).when(F.col("ending") == "whole", F.lit(-math.inf)).otherwise(F.log(prior / (1 - prior) * ratio))
+    return known.withColumn("odds", odds).select("doc_id", "source", "ending", "posterior", "odds", F.coalesce(F.col("odds") > 0, F.lit(False)).alias("cut"))
 
 
 def cut_documents(judged: DataFrame) -> DataFrame:
