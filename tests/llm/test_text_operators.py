@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import leaks, lookalikes, overlaps, packing, pieces, scans, splits, truncation
+from vellum.llm import leaks, lookalikes, packing, pieces, scans, splits, truncation
 
 LONG = "长" * 300_000
 
@@ -138,27 +138,6 @@ def test_proportions(spark):
     assert records.where("group_code = 'F0'").select("split").distinct().count() == 1
 
 
-# --- overlaps --------------------------------------------------------------------
-def test_overlaps(spark):
-    base = "列出某某建材2021年、2022年的资本开支，再给出两者之差。"
-    rows = [
-        ("a", "calibration", base), ("b", "dev", "你好，列出某某建材２０２１年度、2022年度资本开支，再列示两者之差。谢谢！"), ("c", "dev", base.replace("资本开支", "营业收入")), ("d", "frozen_test", base.replace("2021", "2020")),
-        ("e", "frozen_test", base), ("f", "calibration", "What is the net profit of Abc Foods in 2020 and 2021?"), ("g", "dev", "what's the the net profit at ABC foods in 2020 and 2021 (cite pages)"), ("h", "dev", None), ("i", None, base), ("j", "calibration", ""), ("k", "dev", LONG), ("a", "calibration", base),
-    ]
-    df = spark.createDataFrame([(*r, "s", "clash") for r in rows], "case_id string, split string, query string, source string, canon string")
-    pairs = overlaps.cross_split_pairs(df, ["calibration"], ["dev", "frozen_test"])
-    assert set(overlaps.overlapping_pairs(pairs).collect()) == {("a", "b"), ("a", "e"), ("f", "g")}
-    assert {tuple(r["query_ids"]) for r in overlaps.overlap_units(pairs).collect()} == {("a", "b", "e"), ("f", "g")}
-    assert {(r["eval_split"], r["leaked"]) for r in overlaps.overlap_counts(pairs).collect()} == {("dev", 2), ("frozen_test", 1)}
-    assert overlaps.cross_split_pairs(df.limit(0), ["calibration"], ["dev"]).count() == 0
-
-
-def test_misspellings(spark):
-    rows = [(f"c{i}", "calibration", f"difference in assets of Firm{i}") for i in range(100)] + [("x", "dev", "diference in assets of Firm7")]
-    df = spark.createDataFrame([(*r, "s") for r in rows], "case_id string, split string, query string, source string")
-    assert overlaps.overlapping_pairs(overlaps.cross_split_pairs(df, ["calibration"], ["dev"])).collect() == [("c7", "x")]
-
-
 # --- pieces ----------------------------------------------------------------------
 @pytest.mark.parametrize("text", ["", "短", "甲乙丙。" * 900, "no boundary at all" * 200, "a" * 5000, ("A sentence here. " * 30 + "\n\n") * 12, "。" * 3000])
 def test_pieces_round_trip(text):
@@ -205,25 +184,6 @@ def test_packing_is_whole_and_tight(seed):
     assert used <= len(rooms) + 1
 
 
-def test_dominance_matches_exhaustive_search():
-    from itertools import permutations
-
-    rng = random.Random(4)
-    for _ in range(40):
-        sizes = [rng.randint(1, 20) for _ in range(6)]
-        best = min(sum(1 for _ in _bins(p, 20)) for p in permutations(sizes))
-        assert packing.pack_sizes(np.array(sizes), 20)[1] <= best + (0 if best < 3 else 1)
-
-
-def _bins(sizes, capacity):
-    room = 0
-    for s in sizes:
-        if s > room:
-            yield 1
-            room = capacity
-        room -= s
-
-
 def test_pack_documents(spark):
     rows = [(i, "word " * n) for i, n in enumerate([10, 500, 3000, 0, 1500])] + [(9, None), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit("clash"))

@@ -3,14 +3,15 @@
 Documents are measured in tokens of a public tokenizer.  Items are spread over groups
 by a hash, each large enough to be packed well and small enough for one task.  Within
 a group the dominance reduction of Martello and Toth fixes small sets that fill a
-container at least as well as anything else could, and the remainder goes by best fit,
-the largest item first.  A text above the capacity fills whole containers and leaves a
+container at least as well as anything else could, over all sizes until none is left that
+does, and the remainder goes by best fit, the largest item first.  A text above the capacity fills whole containers and leaves a
 rest that is packed like any other item.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,62 +44,87 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
     return len(encoding(path).encode_ordinary(text)) if text else 0
 
 
-def _reduce(count: np.ndarray, capacity: int) -> list[list[int]]:
-    """Martello-Toth: take sets of at most three sizes that dominate every set their largest could be in."""
-    fixed: list[list[int]] = []
-    sizes = [int(s) for s in np.flatnonzero(count)]
+class _Stock:
+    """Sizes that are still there, with the searches the reduction needs (one count a size)."""
 
-    def largest(room: int, gone: dict[int, int]) -> int:
-        """The largest size within the room that is still there, 0 if none."""
-        i = int(np.searchsorted(sizes, room, side="right"))
+    def __init__(self, count: np.ndarray):
+        self.count = count
+        self.sizes = [int(x) for x in np.flatnonzero(count)]
+
+    def left(self, size: int, gone: tuple[int, ...]) -> int:
+        return int(self.count[size]) - gone.count(size)
+
+    def largest(self, room: int, gone: tuple[int, ...]) -> int:
+        """The largest size within the room, 0 if none."""
+        i = bisect_right(self.sizes, room)
         while i:
             i -= 1
-            s = sizes[i]
-            if count[s] - gone.get(s, 0) > 0:
-                return s
+            if self.left(self.sizes[i], gone) > 0:
+                return self.sizes[i]
         return 0
 
-    def smallest(n: int, gone: dict[int, int]) -> list[int]:
+    def smallest(self, n: int, gone: tuple[int, ...], above: int = 0) -> list[int]:
+        """The n smallest sizes above a bound, fewer if there are fewer."""
         out: list[int] = []
-        for s in sizes:
-            for _ in range(int(count[s]) - gone.get(s, 0)):
-                out.append(s)
-                if len(out) == n:
-                    return out
+        for i in range(bisect_right(self.sizes, above), len(self.sizes)):
+            size = self.sizes[i]
+            out += [size] * min(n - len(out), max(self.left(size, gone), 0))
+            if len(out) == n:
+                break
         return out
 
-    for top in reversed(sizes):
-        while count[top] > 0:
-            room = capacity - top
-            gone = {top: 1}
-            one = largest(room, gone)
-            take: list[int] | None = None
-            if not one:
-                take = [top]
-            else:
-                small = smallest(3, gone)
-                if one == room or len(small) < 2 or small[0] + small[1] > room:
-                    take = [top, one]
-                elif len(small) < 3 or sum(small) > room:
-                    best = (0, 0, 0)
-                    for s in reversed(sizes):
-                        if s > room or count[s] - gone.get(s, 0) <= 0:
-                            continue
-                        other = largest(min(s, room - s), {**gone, s: gone.get(s, 0) + 1})
-                        if other and s + other > best[0]:
-                            best = (s + other, s, other)
-                        if 2 * s < best[0]:
-                            break
-                    if one >= best[0]:
-                        take = [top, one]
-                    elif best[0] == room and not any(count[s] - gone.get(s, 0) > 0 for s in sizes if best[1] < s <= one):
-                        take = [top, best[1], best[2]]
-            if take is None:
-                break
-            for s in take:
-                count[s] -= 1
-            fixed.append(take)
-    return fixed
+    def take(self, sizes: tuple[int, ...]) -> None:
+        for s in sizes:
+            self.count[s] -= 1
+            if self.count[s] == 0:
+                self.sizes.pop(bisect_left(self.sizes, s))
+
+
+def _dominating(stock: _Stock, top: int, capacity: int) -> tuple[int, ...] | None:
+    """The set of at most three sizes with `top` that dominates every other feasible set with it, None if there is none.
+
+    A set dominates another if the other's sizes can be parted among its sizes so that none is exceeded.
+    """
+    room, gone = capacity - top, (top,)
+    one = stock.largest(room, gone)
+    if not one:
+        return gone
+    small = stock.smallest(3, gone)
+    if one == room or len(small) < 2 or small[0] + small[1] > room:
+        return top, one  # nothing fills more than one, or no two fit
+    if len(small) == 3 and sum(small) <= room:
+        return None  # three fit: sets of four sizes aren't looked at
+    best, high = 0, one
+    while high and 2 * high > best:
+        low = stock.largest(min(high, room - high), (top, high))
+        best = max(best, high + low if low else 0)
+        high = stock.largest(high - 1, gone)
+    if one >= best:
+        return top, one
+    # {one, low} dominates a pair unless both of it exceed low
+    low = stock.largest(room - one, (top, one))
+    if low:
+        above = stock.smallest(2, gone, above=low)
+        if len(above) < 2 or above[0] + above[1] > room:
+            return top, one, low
+    return None
+
+
+def reduce_sizes(count: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """Martello-Toth reduction: the sets that are fixed; `count` (by size) keeps what is left.
+
+    Every size is tried, the largest first, and all over again until no set dominates any
+    more: what is fixed leaves less that can compete.  No optimal packing is lost.
+    """
+    stock, fixed = _Stock(count), []
+    while True:
+        before = len(fixed)
+        for top in list(reversed(stock.sizes)):
+            while stock.count[top] > 0 and (found := _dominating(stock, top, capacity)):
+                stock.take(found)
+                fixed.append(found)
+        if len(fixed) == before:
+            return fixed
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -115,7 +141,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     used = 0
     rooms: dict[int, list[int]] = {}
     mask = 0
-    for take in _reduce(count, capacity):
+    for take in reduce_sizes(count, capacity):
         for s in take:
             container[waiting[s].pop()] = used
         room = capacity - sum(take)

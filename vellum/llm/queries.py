@@ -36,20 +36,25 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "version_manifest"), table(spark, sf_dir, "source_manifest"), table(spark, sf_dir, "split_targets"))[0]
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps.cross_split_pairs(table(spark, sf_dir, "agent_cases"), TRAINING, EVALUATION)
+def _canon(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    return overlaps.canonical_cases(table(spark, sf_dir, "agent_cases"), TRAINING, EVALUATION, **options)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps.overlapping_pairs(_pairs(spark, sf_dir))
+    return overlaps.overlapping_pairs(overlaps.cross_split_pairs(_canon(spark, sf_dir)))
 
 
 def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps.overlap_units(_pairs(spark, sf_dir))
+    return overlaps.overlap_units(_canon(spark, sf_dir))
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps.overlap_counts(_pairs(spark, sf_dir))
+    return overlaps.overlap_counts(_canon(spark, sf_dir))
+
+
+def p5_exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts for records that are the same but for case, punctuation, blanks and letter width."""
+    return overlaps.overlap_counts(_canon(spark, sf_dir, rounds=0))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(_judged(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_paragraphs, p4_found, p4_splits, p5_found, p5_overlaps, p5_counts, p6_found, p6_pieces, p7_containers, p8_found, p9_found, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_paragraphs, p4_found, p4_splits, p5_found, p5_overlaps, p5_counts, p5_exact_counts, p6_found, p6_pieces, p7_containers, p8_found, p9_found, p9_shares)}
 
 
 def queries() -> dict[str, Query]:
@@ -99,8 +104,17 @@ def _p4_sql() -> str:
       SELECT DISTINCT version_id, group_code FROM v WHERE root IN (SELECT root FROM v GROUP BY root HAVING count(DISTINCT split) > 1)"""
 
 
+def _exact_sql() -> str:
+    wide, narrow = textforms._WIDE + textforms._BLANKS, textforms._ASCII.replace("'", "''") + " " * len(textforms._BLANKS)
+    bare = f"regexp_replace(lower(translate(query, '{wide}{textforms._UNSEEN}', '{narrow}')), '[\\p{{P}}\\p{{S}}]', ' ', 'g')"
+    return f"""WITH c AS (SELECT DISTINCT case_id AS id, split, source, array_to_string(regexp_extract_all({bare}, '[a-z]+|[0-9]+|[^\\sa-z0-9]'), ' ') AS canon FROM agent_cases WHERE case_id IS NOT NULL AND query IS NOT NULL AND split IN ('calibration', 'dev', 'frozen_test')),
+      t AS (SELECT canon, count(DISTINCT id) AS n FROM c WHERE split = 'calibration' AND canon <> '' GROUP BY 1), e AS (SELECT DISTINCT id, split, source, canon FROM c WHERE split <> 'calibration')
+      SELECT split AS eval_split, source AS eval_source, count(DISTINCT id) AS leaked, CAST(sum(n) AS BIGINT) AS pairs FROM e JOIN t USING (canon) GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _p4_sql(),
+        "p5_exact_counts": _exact_sql(),
         "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(json_extract_string(payload_json, '$.text')) > 1200 AND chunk_id IS NOT NULL",
     }
