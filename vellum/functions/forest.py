@@ -6,7 +6,8 @@ evaluated there over Arrow batches without a loop over rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -21,6 +22,10 @@ class Forest:
     leaf: list[np.ndarray]
     classes: np.ndarray
     steps: tuple[np.ndarray, np.ndarray]
+    #: Names of the groups of classes, which group each class is in (-1: none), and their own calibration.
+    groups: list[str] = field(default_factory=list)
+    member: np.ndarray | None = None
+    group_steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.0]))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros((len(x), len(self.classes)))
@@ -41,8 +46,20 @@ class Forest:
 
     def confidence(self, top: np.ndarray) -> np.ndarray:
         """Share of right answers that held-out rows showed at such a top probability."""
-        edges, level = self.steps
-        return level[np.clip(np.searchsorted(edges, top, side="right") - 1, 0, len(level) - 1)]
+        return _level(self.steps, top)
+
+    def group_shares(self, p: np.ndarray) -> np.ndarray:
+        """Probabilities of the groups, given that it is one of them."""
+        share = np.column_stack([p[:, self.member == g].sum(axis=1) for g in range(len(self.groups))]) if self.groups else np.zeros((len(p), 1))
+        return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-9)
+
+    def group_confidence(self, top: np.ndarray) -> np.ndarray:
+        return _level(self.group_steps, top)
+
+
+def _level(steps: tuple[np.ndarray, np.ndarray], top: np.ndarray) -> np.ndarray:
+    edges, level = steps
+    return level[np.clip(np.searchsorted(edges, top, side="right") - 1, 0, len(level) - 1)]
 
 
 def isotonic(score: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +112,12 @@ def _grow(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generator, depth:
     return np.array(feature), np.array(threshold), np.array(child), share / np.maximum(share.sum(axis=1, keepdims=True), 1)
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 16, depth: int = 14, least: int = 3, tries: int = 16, held_out: float = 0.25, seed: int = 7) -> Forest:
+def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 16, depth: int = 14, least: int = 3, tries: int = 16, held_out: float = 0.25, seed: int = 7, group: Callable[[str], str | None] | None = None) -> Forest:
     """Fit trees on a share of the rows and calibrate the top probability on the others.
 
-    x: one row a record, numbers only.  y: class labels.  Without rows the forest has
-    one class, None, and confidence 0.
+    x: one row a record, numbers only.  y: class labels.  group: the group of a class, or
+    None; which group a record is in is calibrated apart, over the held-out rows of some
+    group.  Without rows the forest has one class, None, and confidence 0.
     """
     if not len(y):
         return Forest([np.array([-1])], [np.array([0.0])], [np.array([0])], [np.ones((1, 1))], np.array([None], dtype=object), (np.array([0.0]), np.array([0.0])))
@@ -109,7 +127,16 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 16, depth: int = 14
     train = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
     grown = [_grow(x[train], codes[train], len(classes), rng, depth, least, tries) for _ in range(trees)]
     forest = Forest(*(list(part) for part in zip(*grown, strict=True)), classes, (np.array([0.0]), np.array([0.0])))
+    if group is not None:
+        names = [group(str(c)) for c in classes]
+        forest.groups = sorted({n for n in names if n is not None})
+        forest.member = np.array([forest.groups.index(n) if n is not None else -1 for n in names])
     if held.any():
         p = forest.probabilities(x[held])
         forest.steps = isotonic(p.max(axis=1), p.argmax(axis=1) == codes[held])
+        if forest.groups:
+            own = forest.member[codes[held]]
+            share = forest.group_shares(p)[own >= 0]
+            if len(share):
+                forest.group_steps = isotonic(share.max(axis=1), share.argmax(axis=1) == own[own >= 0])
     return forest

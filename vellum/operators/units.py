@@ -3,9 +3,10 @@
 A figure's unit is read, in this order, from its own text, the unit field, the column
 label, the row label and the section; spellings are looked up in a lexicon generated
 from multipliers and unit names.  Figures whose unit is missing, or stands there as a
-bare multiplier ('1.2亿'), go to a calibrated tree ensemble that predicts the unit from
-magnitude, notation, source, category and the neighbouring fields of the row; confident
-assignments are converted and the others are marked for review.
+bare multiplier ('1.2亿'), go to a calibrated tree ensemble that predicts the unit (of a
+multiplier: the kind) from magnitude, notation, source, category and the neighbouring
+fields of the row; confident assignments are converted and the others, like spellings
+that the lexicon doesn't know, are marked for review.
 """
 
 from __future__ import annotations
@@ -165,6 +166,8 @@ def stated_units(rows: DataFrame) -> DataFrame:
     """Adds number, kind, factor100, unit_from: the unit that the row itself states.
 
     unit_from is value, unit, column, row or section, or null where no field states one.
+    kind is one of BASE_UNITS, '' for what has no base unit, '?' for a bare multiplier and
+    '!' for an unknown spelling.
     """
     spark = rows.sparkSession
     lex = F.broadcast(spark.createDataFrame(lexicon(), "key string, kind string, factor100 string").withColumn("factor100", F.col("factor100").cast("decimal(26,4)")))  # generated, a few thousand rows whatever the data
@@ -174,14 +177,14 @@ def stated_units(rows: DataFrame) -> DataFrame:
     out = parsed.withColumns({f"__k_{n}": F.when(F.col("__n").isNotNull(), unit_key(k)) for n, k in keys.items()})
     for n in keys:
         out = out.join(lex.select(F.col("key").alias(f"__k_{n}"), F.struct(F.coalesce("kind", F.lit("")).alias("kind"), "factor100").alias(f"__u_{n}")), f"__k_{n}", "left")
-    # a non-empty text or unit field that the lexicon doesn't know is a unit of another kind
+    # a non-empty text or unit field that the lexicon doesn't know is a spelling to be looked at
     said = {
         n: F.when(F.col(f"__u_{n}").isNotNull(), F.struct(F.lit(n).alias("unit_from"), F.col(f"__u_{n}.kind").alias("kind"), F.col(f"__u_{n}.factor100").alias("factor100")))
         for n in keys
     }
     for n in ("value", "unit"):
         unknown = F.col(f"__k_{n}") != ""
-        said[n] = said[n].when(unknown, F.struct(F.lit(n).alias("unit_from"), F.lit("").alias("kind"), F.lit(None).cast("decimal(26,4)").alias("factor100")))
+        said[n] = said[n].when(unknown, F.struct(F.lit(n).alias("unit_from"), F.lit("!").alias("kind"), F.lit(None).cast("decimal(26,4)").alias("factor100")))
     out = out.withColumn("__s", F.coalesce(*said.values()))
     return out.select(*rows.columns, F.col("__n").alias("number"), F.col("__s.unit_from").alias("unit_from"), F.col("__s.kind").alias("kind"), F.col("__s.factor100").alias("factor100"))
 
@@ -213,7 +216,13 @@ def fit_unit_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """The ensemble, fitted on the stated units of a bounded sample (the rows of smallest hash)."""
     sample = _own(rows).orderBy(F.xxhash64("record_table", "record_key"), "record_key").limit(sample_rows)
     known = stated_units(sample).where(F.col("kind").isin(*BASE_UNITS)).select("figure", "number", *_BUCKETS, F.concat_ws("|", "kind", F.col("factor100").cast("string")).alias("y")).toPandas()
-    return fit_forest(_features(known), known["y"].to_numpy(str))
+    return fit_forest(_features(known), known["y"].to_numpy(str), group=_counted_kind)
+
+
+def _counted_kind(label: str) -> str | None:
+    """The kind of a class that a bare multiplier can count: never a rate."""
+    kind = label.split("|")[0]
+    return None if kind == "percent" else kind
 
 
 def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident: float = CONFIDENT, model: Forest | None = None) -> DataFrame:
@@ -223,10 +232,10 @@ def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident:
     unit_from, status, base_unit, factor, base_value, confidence.
 
     status: 'stated' (a field names the unit), 'scale' (the text has a bare multiplier,
-    the ensemble tells the kind), 'predicted' (no unit; the calibrated confidence is at
-    least `confident`), 'review' (no unit and less confidence), 'other' (another currency,
-    a per-share amount or a count of other things), 'none' (null, empty or without a
-    number).  base_value is the figure in base units times 100, rounded to a whole; null
+    the ensemble tells the kind with at least `confident` calibrated confidence),
+    'predicted' (no unit, the ensemble tells it as surely), 'review' (either with less
+    confidence, or a spelling that is in no lexicon), 'other' (another currency, a
+    per-share amount or a count of other things), 'none' (null, empty or without a number).  base_value is the figure in base units times 100, rounded to a whole; null
     for review, other and none, and where it exceeds a bigint.  Rows are kept as often as
     they come; an empty table gives an empty table.
     """
@@ -236,38 +245,41 @@ def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident:
     kinds = np.array([str(c).split("|")[0] for c in forest.classes])
     factors = [str(c).split("|")[-1] for c in forest.classes]
 
-    @F.pandas_udf("struct<kind:string, factor100:string, money:string, confidence:double>")
+    @F.pandas_udf("struct<kind:string, factor100:string, confidence:double, counted:string, counted_confidence:double>")
     def predict(f: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"kind": None, "factor100": None, "money": None, "confidence": np.nan}, index=f.index, dtype=object)
+        out = pd.DataFrame({"kind": None, "factor100": None, "confidence": np.nan, "counted": None, "counted_confidence": np.nan}, index=f.index, dtype=object)
         need = f["open"].fillna(False).to_numpy(bool)
         if need.any():
             p = forest.probabilities(_features(f[need]))
             best = p.argmax(axis=1)
-            # a bare multiplier never counts rates: the likeliest of the other kinds
-            names = [k for k in BASE_UNITS if k != "percent"]
-            by_kind = np.column_stack([p[:, kinds == k].sum(axis=1) for k in names])
             out.loc[need, "kind"] = kinds[best]
             out.loc[need, "factor100"] = np.array(factors, dtype=object)[best]
-            out.loc[need, "money"] = np.array(names, dtype=object)[by_kind.argmax(axis=1)]
             out.loc[need, "confidence"] = forest.confidence(p.max(axis=1))
+            if forest.groups:
+                share = forest.group_shares(p)
+                out.loc[need, "counted"] = np.array(forest.groups, dtype=object)[share.argmax(axis=1)]
+                out.loc[need, "counted_confidence"] = forest.group_confidence(share.max(axis=1))
+        out["counted_confidence"] = out["counted_confidence"].astype(float)
         out["confidence"] = out["confidence"].astype(float)
         return out
 
     fields = F.struct(open_.alias("open"), *[F.when(open_, F.col(c)).alias(c) for c in ("figure", *_BUCKETS)], F.when(open_, F.col("number").cast("double")).alias("number"))
     scored = stated.withColumn("p", predict(fields))
     bare = F.col("kind") == "?"
-    sure = F.col("p.confidence") >= confident
+    trust = F.when(bare, F.col("p.counted_confidence")).otherwise(F.col("p.confidence"))
+    sure = F.coalesce(trust >= confident, F.lit(False))
     status = (
-        F.when(F.col("number").isNull(), "none").when(bare, "scale").when(F.col("kind") == "", "other").when(F.col("kind").isNotNull(), "stated").when(sure, "predicted").otherwise("review")
+        F.when(F.col("number").isNull(), "none").when(F.col("kind") == "!", "review").when(bare & sure, "scale").when(bare, "review")
+        .when(F.col("kind") == "", "other").when(F.col("kind").isNotNull(), "stated").when(sure, "predicted").otherwise("review")
     )
     out = scored.withColumn("status", status)
     is_ = lambda *s: F.col("status").isin(*s)
-    base = F.when(is_("stated"), F.col("kind")).when(is_("scale"), F.col("p.money")).when(is_("predicted"), F.col("p.kind"))
+    base = F.when(is_("stated"), F.col("kind")).when(is_("scale"), F.col("p.counted")).when(is_("predicted"), F.col("p.kind"))
     factor100 = F.when(is_("stated", "scale"), F.col("factor100")).when(is_("predicted"), F.col("p.factor100").try_cast("decimal(26,4)"))
     value = F.round(F.try_multiply(F.col("number"), factor100), 0).try_cast("bigint")
     return out.select(
         "record_table", "record_key", "figure", "number", "unit_from", "status", base.alias("base_unit"), (factor100 / 100).cast("decimal(28,6)").alias("factor"), value.alias("base_value"),
-        F.when(is_("stated"), F.lit(1.0)).when(~is_("none", "other"), F.col("p.confidence")).alias("confidence"),
+        F.when(is_("stated"), F.lit(1.0)).when(~is_("none", "other"), trust).alias("confidence"),
     )
 
 
