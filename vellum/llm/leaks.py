@@ -13,39 +13,68 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items of one pass; more are taken in further passes over the documents.
-BLOCK_ITEMS = 5_000
+#: Letters of the items of one pass (their index has some 30 bytes a letter); more are taken in further passes.
+ITEM_LETTERS = 2_000_000
 #: Letters of documents that are worked on at once in one task.
 BLOCK_LETTERS = 1_000_000
-BAND, HALF = 32, 16
+#: Diagonals beside a band that an alignment may use.
+SLACK = 8
+#: Moves all diagonals above 0; longer documents than that are no text.
+FAR = 1 << 40
 
 
 @dataclass(frozen=True)
 class Rule:
-    """How much of an item makes a case, and the edit budget of such a stretch."""
+    """How much of an item makes a case, and the edit budget of such a stretch.
+
+    Within `stretch` letters of the item up to `words` words of up to `word` letters may be
+    exchanged for others of up to `word` letters, left out or put in; the stretch begins and
+    ends with `edge` letters that are the same.
+    """
 
     stretch: int
     q: int
     stride: int
     words: int
     word: int
-    #: Share of the stretch that the aligned letters, less one for every error, must make up.
-    alike: float = 0.75
 
     @property
     def hits(self) -> int:
-        """Sampled q-grams that a stretch keeps if `words` words of `word` letters are exchanged."""
-        return max(2, (self.stretch - self.q + 1 - self.words * (self.word + self.q - 1)) // self.stride)
+        """Sampled q-grams that a stretch keeps, whatever is exchanged: the lemma's bound, less what sampling loses in each run."""
+        left = self.stretch - self.q + 1 - self.words * (self.word + self.q - 1)
+        return max(1, (left - (self.words + 1) * (self.stride - 1)) // self.stride)
+
+    @property
+    def shift(self) -> int:
+        """Diagonals over which the hits of a stretch lie at most."""
+        return self.words * self.word
+
+    @property
+    def half(self) -> int:
+        """Bands are two of these wide and overlap by one, so hits that lie within `shift` diagonals share a band."""
+        return self.shift + 1
+
+    @property
+    def edge(self) -> int:
+        return self.word // 2
+
+    @property
+    def errors(self) -> int:
+        """Letters that the budget exchanges, leaves out or puts in."""
+        return self.words * self.word
+
 
 RULES = {"zh": Rule(60, 8, 2, 2, 4), "en": Rule(150, 16, 4, 2, 10)}
 
 
+@lru_cache(1)
 def letter_table() -> np.ndarray:
     """Code point -> its letter or digit in one case and width, 0 for everything else."""
     table = np.zeros(0x110000, dtype=np.uint32)
@@ -121,43 +150,92 @@ class Index:
         d, item, place = doc[where], self.item[posting].astype(np.int64), self.place[posting].astype(np.int64)
         # documents and items with too few hits in all can't have enough in a band
         pair = d * len(self.texts) + item
-        low = int(pair.min())
-        enough = np.bincount(pair - low)[pair - low] >= rule.hits
-        d, item, place, where = d[enough], item[enough], place[enough], where[enough]
-        if not len(d):
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        size = np.diff(np.append(first, len(order)))
+        enough = order[np.repeat(size >= rule.hits, size)]
+        if not len(enough):
             return none
-        diagonal = where - start[d] - place + (1 << 20)
-        return self._bands(d, item, place, diagonal)
+        d, item, place, where = d[enough], item[enough], place[enough], where[enough]
+        return self._bands(d, item, place, where - start[d] - place)
 
     def _bands(self, d: np.ndarray, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        band = np.concatenate([2 * (diagonal // BAND), 2 * ((diagonal + HALF) // BAND) - 1])
-        pair = np.tile(d * len(self.texts) + item, 2)
-        place = np.tile(place, 2)
-        wide = int(band.max()) + 1
-        far = int(place.max()) + 1
-        code = np.sort((pair * wide + band) * far + place)
-        key, place = code // far, code % far
+        half = self.rule.half
+        band = np.concatenate([(diagonal + FAR) // half, (diagonal + FAR) // half - 1])
+        pair, place = np.tile(d * len(self.texts) + item, 2), np.tile(place, 2)
+        order = np.lexsort((place, band, pair))
+        pair, band, place = pair[order], band[order], place[order]
         # enough hits of one band within the letters of one stretch
         n = self.rule.hits
-        close = (key[n - 1 :] == key[: len(key) - n + 1]) & (place[n - 1 :] - place[: len(key) - n + 1] <= self.rule.stretch - self.rule.q)
-        kept = np.unique(key[: len(key) - n + 1][close])
-        pair, band = kept // wide, kept % wide
-        return pair // len(self.texts), pair % len(self.texts), band
+        last = slice(n - 1, None)
+        begin = slice(None, len(pair) - n + 1)
+        close = (pair[last] == pair[begin]) & (band[last] == band[begin]) & (place[last] - place[begin] <= self.rule.stretch - self.rule.q)
+        pair, band = pair[begin][close], band[begin][close]
+        new = np.append(True, (np.diff(pair) != 0) | (np.diff(band) != 0)) if len(pair) else np.zeros(0, bool)
+        return pair[new] // len(self.texts), pair[new] % len(self.texts), band[new]
 
     def verify(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray, d: np.ndarray, item: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Which candidates align: the best local alignment in the band spans the stretch that makes a case."""
+        """Which candidates align: in the band lies a stretch within the edit budget.
+
+        The best local alignment decides where it spans the stretch; where it falls short by
+        no more than exchanged words at its ends can make up, all stretches around it are
+        aligned from end to end.
+        """
         good = np.zeros(len(d), dtype=bool)
-        # band b covers diagonals [16 (b - odd) - 16 odd, + 32); half a band of slack on either side
-        left = (band // 2 + band % 2) * BAND - HALF * (band % 2) - (1 << 20) - HALF
-        width = BAND + 2 * HALF
+        rule = self.rule
+        left = band * rule.half - FAR - SLACK
+        width = 2 * rule.half + 2 * SLACK
         length = np.array([len(t) for t in self.texts])
         order = np.argsort(length[item], kind="stable")
+        near: list[tuple[int, int, int]] = []
         for part in np.array_split(order, max(1, len(order) // 64)):
-            if len(part):
-                good[part] = self._align(letters, start[d[part]], end[d[part]], item[part], left[part], width)
+            if not len(part):
+                continue
+            first, last, score = self._align(letters, start[d[part]], end[d[part]], item[part], left[part], width)
+            span = last - first
+            good[part] = (span >= rule.stretch) & (score * rule.stretch >= (rule.stretch - 2 * rule.errors) * span)
+            # the best local alignment scores no less than the stretch as a whole
+            near += [(part[k], first[k], last[k]) for k in np.flatnonzero(~good[part] & (score >= rule.stretch - 2 * rule.errors))]
+        for block in range(0, len(near), 64):
+            c, first, last = (np.array(x) for x in zip(*near[block : block + 64], strict=True))
+            good[c] = self._stretches(letters, start[d[c]], end[d[c]], item[c], left[c], width, first, last)
         return good
 
-    def _align(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    def _stretches(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray, left: np.ndarray, width: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether some stretch of the item around [first, last) is in the document's band with no more errors than the budget's."""
+        rule = self.rule
+        far = 2 * (rule.word + rule.q)
+        size = np.array([len(self.texts[i]) for i in item])
+        low, high = np.maximum(0, last - rule.stretch - far), np.minimum(first + far, size - rule.stretch) + 1
+        n = np.maximum(high - low, 0)
+        own = np.repeat(np.arange(len(item)), n)
+        if not len(own):
+            return np.zeros(len(item), dtype=bool)
+        begins = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        offset = np.cumsum(size) - size
+        flat = np.concatenate([self.texts[i] for i in item]).astype(np.int64)
+        base, begin, stop = (start + left)[own] + begins, start[own][:, None], end[own][:, None]
+        column = np.arange(width)
+        big = rule.stretch
+        cell = np.zeros((len(own), width), dtype=np.int32)  # errors so far; the stretch may begin on any diagonal
+        for i in range(rule.stretch):
+            letter = flat[offset[own] + begins + i][:, None]
+            place = (base + i)[:, None] + column[None, :]
+            same = (place >= begin) & (place < stop) & (letters[np.clip(place, 0, len(letters) - 1)] == letter)
+            if rule.edge <= i < rule.stretch - rule.edge:
+                skipped = np.full_like(cell, big)
+                skipped[:, :-1] = cell[:, 1:] + 1
+                other = np.where((letter >= 48) & (letter <= 57), big, np.minimum(cell + 1, skipped))
+                cell = np.where(same, np.minimum(cell, other), other)
+                # letters put in between: along the row, each is an error
+                cell = np.minimum.accumulate(cell - column, axis=1) + column
+            else:
+                cell = np.where(same, cell, big)
+        found = (cell <= rule.errors).any(axis=1)
+        return np.bincount(own, weights=found, minlength=len(item)) > 0
+
+    def _align(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, last, score) of the best local alignment of each candidate: letters of the item, and matches less errors."""
         rows = max(len(self.texts[i]) for i in item)
         text = np.zeros((len(item), rows), dtype=np.int64)
         for n, i in enumerate(item):
@@ -192,8 +270,7 @@ class Index:
             better = (top >> 20) > (best >> 20)
             best = np.where(better, top, best)
             best_end = np.where(better, i + 1, best_end)
-        span = best_end - (mask - (best & mask))
-        return (span >= self.rule.stretch) & ((best >> 20) >= self.rule.alike * span)
+        return mask - (best & mask), best_end, best >> 20
 
 
 def _search(indexes: list[Index], texts: list[str], table: np.ndarray) -> Iterator[tuple[int, object]]:
@@ -225,12 +302,13 @@ def _blocks(texts: list[str | None]) -> Iterator[list[int]]:
         yield block
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", rules: dict[str, Rule] = RULES, other: str = "en", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", rules: dict[str, Rule] = RULES, other: str = "en", item_letters: int = ITEM_LETTERS) -> DataFrame:
     """(doc_id, item_id): the documents that hold a stretch of an item's text.
 
     items: item_id, lang, text.  The items are a query set against all documents: they are
-    read to the driver in blocks of `block_items` (ordered by item_id, text, lang) and sent to all
-    executors, one pass over the documents a block, so no pass holds more than a block.
+    read to the driver in blocks of about `item_letters` letters (by a hash of their rows)
+    and sent to all executors, one pass over the documents a block, so what a pass holds has
+    a bound in letters; a longer text is a block by itself.
     rules: by lang of the item; an unlisted or null lang takes the rule of `other`.
     Null and empty texts hold nothing; repeated rows count once; texts are read whole.
     """
@@ -239,19 +317,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", t
     kind = {"d": rows.schema["doc_id"].dataType.simpleString(), "i": items.schema["item_id"].dataType.simpleString()}
     lang = F.when(F.col("lang").isin(*rules), F.col("lang")).otherwise(F.lit(other)).alias("lang")
     wanted = items.select("item_id", lang, "text").where("item_id is not null and text is not null").distinct()
-    total = wanted.count()
-
-    def later(row: Row) -> Column:
-        """Rows after this one; an item's rows may lie in several blocks."""
-        item, text, lang = F.col("item_id"), F.col("text"), F.col("lang")
-        return (item > row["item_id"]) | (item == row["item_id"]) & ((text > row["text"]) | (text == row["text"]) & (lang > row["lang"]))
-
-    result = None
-    after = None
-    for _ in range(max(1, -(-total // block_items))):
-        block = (wanted if after is None else wanted.where(later(after))).orderBy("item_id", "text", "lang").limit(block_items).collect()
-        after = block[-1] if block else None
-        table = letter_table()
+    total = wanted.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // item_letters))
+    table, result = letter_table(), None
+    for b in range(blocks):
+        block = wanted.where(F.pmod(F.xxhash64("item_id", "lang", "text"), F.lit(blocks)) == b).collect()
         indexes = []
         for name, rule in rules.items():
             own = [(r["item_id"], _letters(r["text"], table)) for r in block if r["lang"] == name]
