@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.runtime import bounded_broadcast, salted_join
+from vellum.runtime import bounded_broadcast, cut
 
 # Letters, marks and signs of other scripts that are drawn like the
 # prototype on the left; compatibility characters are not listed, as Unicode's own
@@ -167,12 +167,12 @@ def find_lookalikes(cells: DataFrame, labels: DataFrame) -> DataFrame:
     figure_case = F.when(figure.rlike(PLAIN_FIGURE) & figure.rlike("[0-9]") & (figure != F.col("text")), F.struct(F.lit("figure").alias("kind"), figure.alias("plain_text")))
     cases = (
         unify_texts(wanted, "text")
-        .join(bounded_broadcast(refs), "plain", "left")
+        .join(bounded_broadcast(cut(refs)), "plain", "left")
         .select("text", F.inline(F.array_compact(F.array(label_case, figure_case))))
         .select(F.concat("kind", F.lit("\x1f"), "text").alias("key"), "plain_text")
     )
     keyed = wanted.withColumn("key", F.concat("kind", F.lit("\x1f"), "text")).drop("kind", "text")
-    found = salted_join(keyed, cases, "key", spread=F.col("record_id"))
+    found = keyed.join(cases, "key")  # one row a key on the right: the adaptive engine splits what is skewed on the left
     return found.select("record_table", "record_id", "field_name", "plain_text").distinct()
 
 

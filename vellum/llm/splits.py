@@ -3,18 +3,22 @@
 Documents, codes and names are the nodes of a graph; its components are found by
 contraction: every node points at the smallest hash among its neighbours, pointers
 are jumped, edges are rewritten to the new roots and repeated ones dropped, until no
-edge is left.  The components are a table that can be kept: on the next run it joins
-as further edges, known components keep their split and components that a merge
-brings together with different splits are set apart (quarantined).
+edge is left.  The components are a table that is written to the shared folder and kept:
+on the next run it joins as further edges, known components keep their split and
+components that a merge brings together with different splits are set apart (quarantined).
+A hub that a third of all nodes hang on skews the joins on roots: they are equi-joins with
+one row a root on the other side, which the adaptive engine splits.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.textforms import half_width
-from vellum.runtime import cut, salted_join
+from vellum.runtime import cut, shared_folder
 
 #: Buckets of small components; with the large ones they are what the driver allots.
 BUCKETS = 4096
@@ -41,12 +45,23 @@ def _jump(pointers: DataFrame) -> DataFrame:
     """Pointer jumping: follow (node, root) until every root points at itself."""
     while True:
         up = pointers.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        longer = cut(salted_join(pointers, up, "root", "left", spread=F.col("node")).select("node", F.col("root").alias("old"), F.coalesce("top", "root").alias("root")))
+        longer = cut(pointers.join(up, "root", "left").select("node", F.col("root").alias("old"), F.coalesce("top", "root").alias("root")))
         pointers = longer.select("node", "root")
         if longer.where("old <> root").isEmpty():
             return pointers
 
 
+def _hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges of hashes, names): a hash that two names share is found and the next seed taken, so no groups are merged by chance."""
+    for seed in range(16):
+        one = lambda c: F.xxhash64(F.lit(seed), F.col(c))
+        named = edges.select(F.inline(F.array(F.struct(F.col("a").alias("name"), one("a").alias("node")), F.struct(F.col("b").alias("name"), one("b").alias("node"))))).distinct()
+        names = cut(named)
+        if names.groupBy("node").count().where("count > 1").isEmpty():
+            return edges.select(one("a").alias("a"), one("b").alias("b")), names
+    raise ValueError("no seed tells the nodes apart")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the nodes of the edges (a, b), each with the smallest hash of its component.
 
@@ -54,9 +69,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     allowed; rows with a null end are dropped.  Every round at least halves the number
     of roots that still have an edge, so the rounds grow with the logarithm of the graph.
     """
-    clean = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    hashed = cut(clean.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), F.col("a").alias("node_a"), F.col("b").alias("node_b")))
-    names = hashed.select(F.inline(F.array(F.struct(F.col("node_a").alias("name"), F.col("a").alias("node")), F.struct(F.col("node_b").alias("name"), F.col("b").alias("node"))))).distinct()
+    hashed, names = _hashed(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     roots = None
     live = hashed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     while not (live := cut(live)).isEmpty():
@@ -66,16 +79,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = step
         else:
-            moved = salted_join(roots.withColumnRenamed("root", "mid"), step.select(F.col("node").alias("mid"), "root"), "mid", "left", spread=F.col("node"))
+            moved = roots.withColumnRenamed("root", "mid").join(step.select(F.col("node").alias("mid"), "root"), "mid", "left")
             roots = cut(moved.select("node", F.coalesce("root", "mid").alias("root")))
         for end in ("a", "b"):
-            live = salted_join(live, step.select(F.col("node").alias(end), "root"), end, "left", spread=F.xxhash64("a", "b")).withColumn(end, F.coalesce("root", end)).select("a", "b")
+            live = live.join(step.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
         live = live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if roots is None:
         return names.select(F.col("name").alias("node"), F.col("node").alias("root"))
     return names.join(roots, "node", "left").select(F.col("name").alias("node"), F.coalesce("root", "node").alias("root"))
 
 
+def kept_table(components: DataFrame) -> DataFrame:
+    """The component table, written to the folder that all executors share and read again; the next run takes it."""
+    path = f"{shared_folder(components.sparkSession)}/components-{uuid.uuid4().hex}"
+    components.write.parquet(path)
+    return components.sparkSession.read.parquet(path)
+
+
 def issuer_groups(source_manifest: DataFrame, version_manifest: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(node, root, group_code): the component table; group_code is the smallest code of the group, null without one.
 
@@ -84,15 +104,15 @@ def issuer_groups(source_manifest: DataFrame, version_manifest: DataFrame, kept:
     edges = issuer_edges(source_manifest, version_manifest)
     if kept is not None:
         edges = edges.unionByName(kept.select(F.col("node").alias("a"), F.concat(F.lit("k:"), F.col("component").cast("string")).alias("b")))
-    components = cut(connected_components(edges))
+    components = kept_table(connected_components(edges))
     code = F.when(F.col("node").startswith("c:"), F.substring("node", 3, 1_000_000))
-    return salted_join(components, components.groupBy("root").agg(F.min(code).alias("group_code")), "root", spread=F.col("node"))
+    return components.join(components.groupBy("root").agg(F.min(code).alias("group_code")), "root")
 
 
 def _records(version_manifest: DataFrame, groups: DataFrame) -> DataFrame:
     docs = groups.where(F.col("node").startswith("d:")).select(F.expr("substring(node, 3)").alias("document_key"), "root", "group_code")
     own = version_manifest.dropDuplicates().select("version_id", "document_key", "split")
-    return salted_join(own, docs, "document_key", "left", spread=F.col("version_id"))
+    return own.join(docs, "document_key", "left")
 
 
 def split_conflicts(version_manifest: DataFrame, source_manifest: DataFrame) -> DataFrame:
@@ -102,7 +122,7 @@ def split_conflicts(version_manifest: DataFrame, source_manifest: DataFrame) ->
     """
     records = _records(version_manifest, issuer_groups(source_manifest, version_manifest)).where(F.col("split").isNotNull() & F.col("root").isNotNull())
     torn = records.groupBy("root").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high").select("root")
-    return salted_join(records.select("root", "version_id", "group_code"), torn, "root", spread=F.col("version_id")).select("version_id", "group_code").distinct()
+    return records.select("root", "version_id", "group_code").join(torn, "root").select("version_id", "group_code").distinct()
 
 
 def assign_splits(version_manifest: DataFrame, source_manifest: DataFrame, split_targets: DataFrame, kept: DataFrame | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
@@ -143,6 +163,6 @@ def assign_splits(version_manifest: DataFrame, source_manifest: DataFrame, split
     placed = sizes.withColumn("single", F.col("n") * buckets > total).withColumn("unit", unit).join(allotted, ["single", "unit"], "left")
     status = F.when(keeps, "kept").when(F.col("low").isNotNull() & (F.col("low") != F.col("high")), "quarantined").otherwise("filled")
     chosen = cut(placed.select("root", F.when(keeps, F.col("low")).otherwise(F.col("allotted")).alias("new_split"), status.alias("status")))
-    out = salted_join(records, chosen, "root", spread=F.col("version_id"))
-    table = salted_join(groups.select("node", "root"), chosen, "root", spread=F.col("node")).select("node", F.col("root").alias("component"), F.col("new_split").alias("split"), "status")
+    out = records.join(chosen, "root")
+    table = groups.select("node", "root").join(chosen, "root").select("node", F.col("root").alias("component"), F.col("new_split").alias("split"), "status")
     return out.select("version_id", "document_key", "group_code", F.col("split").alias("old_split"), F.col("new_split").alias("split"), "status"), table
