@@ -1,11 +1,12 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import finance, text
-from vellum.operators import documents, evaluation, governance, retrieval, tables
+from vellum.operators import documents, evaluation, governance, regulated, retrieval, tables
 from vellum.streaming import traces
 
 
@@ -114,11 +115,32 @@ def test_windows_and_scopes(spark):
     assert scopes == {"c0": "unspecified", "c1": "consolidated", "c2": "consolidated", "c3": "parent", "c4": "unspecified"}
 
 
-def test_packing_keeps_the_budget():
-    budget = documents.Budget(target=10, most=15, least=4, overlap=3)
-    groups = documents.pack_units([6, 6, 2, 3, 9, 20, 3, 2], [False, False, False, False, True, False, False, False], budget)
-    assert sorted({i for g in groups for i in g}) == list(range(8)) and all(g == sorted(g) for g in groups)
-    assert any(g[0] == 4 for g in groups) and documents.pack_units([], [], budget) == []
+def fold_units(tokens, heads, b):
+    """Packing one unit at a time, as brute force."""
+    groups, now, fresh = [], [], False
+    for i, n in enumerate(tokens):
+        size = sum(tokens[k] for k in now)
+        if fresh and ((heads[i] and size >= b.least) or size + n > b.most or size >= b.target):
+            groups.append((now[0], i))
+            tail = []
+            for k in reversed(now):
+                if heads[i] or heads[k] or sum(tokens[j] for j in [k, *tail]) > b.overlap:
+                    break
+                tail.insert(0, k)
+            now = tail if sum(tokens[k] for k in tail) + n <= b.most else []
+        now.append(i)
+        fresh = True
+    return groups + ([(now[0], len(tokens))] if now else [])
+
+
+def test_packing_equals_the_fold():
+    budget, rng = documents.Budget(target=10, most=15, least=4, overlap=3), np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(0, 30))
+        tokens, heads = rng.integers(1, 9, n), rng.random(n) < 0.2
+        spans = documents.pack_spans(tokens, heads, budget)
+        assert spans == fold_units(tokens.tolist(), heads.tolist(), budget)
+        assert sorted({i for a, b in spans for i in range(a, b)}) == list(range(n))
 
 
 def test_section_stack(spark):
@@ -126,19 +148,24 @@ def test_section_stack(spark):
     assert [r["section"] for r in documents.section_stack(u).orderBy("unit_no").collect()] == ["第一章 甲", "第一章 甲 > 二、乙", "第一章 甲 > 二、乙", "第二章 丙", "第二章 丙"]
 
 
-def test_extractors():
-    quarterly = "第一季度 （1-3月份） 第二季度 第三季度 第四季度 营业收入 1,000.5 2,000 3,000 4,000 归属于上市公司股东的净利润 1 2 3 -4"
-    cells = tables.extract_cells(quarterly, "quarterly")
-    assert len(cells) == 8 and cells[0] == ("营业收入", "第一季度", "1000.5", "") and cells[-1][2] == "-4"
-    assert tables.extract_cells("第一季度 营业收入 1 2", "quarterly") == [] and tables.extract_cells(None, "segment") == []
-    note = tables.extract_cells("营业收入和营业成本 主营业务 10 8 9 7 合计 10 8 9 7", "note_cost")
-    assert note[0] == ("主营业务", "本期收入", "10", "") and len(note) == 8
-    segment = tables.extract_cells("主营业务分产品情况 分产品 营业收入 营业成本 毛利率 酒类 100 40 60.0 1.5 2.5 3.5", "segment")
-    assert segment[0] == ("酒类", "营业收入", "100", "主营业务分产品情况")
-    annual = tables.extract_cells("主要会计数据 2024年 2023年 本期比上年同期增减(%) 2022年 营业收入 100 90 11.1 80", "annual_data")
-    assert [(c[1], c[2]) for c in annual] == [("2024年", "100"), ("2023年", "90"), ("2022年", "80")]
-    top5 = tables.extract_cells("前五名客户销售额 1,234.5 万元，占年度销售总额 12.3%", "concentration")
-    assert [c[2] for c in top5] == ["1234.5", "12.3"]
+def test_extractors(spark):
+    texts = [
+        ("q", "第一季度 （1-3月份） 第二季度 第三季度 第四季度 营业收入 1,000.5 2,000 3,000 4,000 归属于上市公司股东的净利润 1 2 3 -4"), ("u", "第一季度 第二季度 第三季度 第四季度 营业收入 1 2"),
+        ("n", "营业收入和营业成本 本期发生额 上期发生额 收入 成本 主营业务 10 8 9 7 合计 10 8 9 7"), ("s", "主营业务分产品情况 分产品 营业收入 营业成本 毛利率 酒类 100 40 60.0 1.5 2.5 3.5"),
+        ("a", "主要会计数据 2024年 2023年 本期比上年同期增减(%) 2022年 营业收入 100 90 11.1 80"), ("c", "前五名客户销售额 1,234.5 万元，占年度销售总额 12.3%"), ("x", None), ("e", ""), ("l", "第一季度" * 50_000),
+    ]
+    df = spark.createDataFrame(texts, "id string, text string").withColumn("cells", F.lit("clash"))
+    got = {}
+    for r in regulated.extract_tables(df, "id", "text").orderBy("cell_no").collect():
+        got.setdefault((r["key"], r["table_kind"]), []).append((r["row_label"], r["column_label"], r["cell_value"], r["section"]))
+    assert set(got) == {("q", "quarterly"), ("n", "note_cost"), ("s", "segment"), ("a", "annual_data"), ("c", "concentration")}
+    q = got["q", "quarterly"]
+    assert len(q) == 8 and q[0] == ("营业收入", "第一季度", "1000.5", "") and q[-1][2] == "-4"
+    assert got["n", "note_cost"][0] == ("主营业务", "本期收入", "10", "") and len(got["n", "note_cost"]) == 8
+    assert got["s", "segment"][0] == ("酒类", "营业收入", "100", "主营业务分产品情况")
+    assert [c[1:3] for c in got["a", "annual_data"]] == [("2024年", "100"), ("2023年", "90"), ("2022年", "80")]
+    assert [c[2] for c in got["c", "concentration"]] == ["1234.5", "12.3"]
+    assert regulated.extract_tables(df.limit(0), "id", "text").count() == 0
 
 
 def test_cells(spark):

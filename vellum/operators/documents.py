@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 
-def order_statistic(values: Column, index: Column) -> Column:
-    """The value at a place (from 0) of a sorted list; the place is moved into the list."""
-    return F.get(F.sort_array(values), F.least(F.greatest(index, F.lit(0)), F.size(values) - 1).cast("int"))
-
-
 def route(chars: Column, images: Column, image_ratio: Column, suspicious: Column, duplicated: Column) -> Column:
     """How a page is to be read, from what its native text shows: the first rule that holds."""
     return (
@@ -57,11 +52,15 @@ def duplicate_share(chunks: DataFrame) -> DataFrame:
 def chunk_report(chunks: DataFrame, least: int = 100, most: int = 650) -> DataFrame:
     """One row a document: chunks, tokens (smallest, 50th and 95th per cent by exact order, largest), pages crossed, sections."""
     rows = chunks.select("document_id", T.token_estimate(F.col("text")).alias("n"), (F.col("page_start") != F.col("page_end")).alias("crosses"), (F.size("section_path") > 0).alias("sectioned"))
-    g = rows.groupBy("document_id").agg(F.count("*").alias("chunks"), F.collect_list("n").alias("ns"), F.count_if(F.col("n") < least).alias("below"), F.count_if(F.col("n") > most).alias("above"), F.count_if("crosses").alias("crossing"), F.count_if("sectioned").alias("sectioned"))
-    n = F.size("ns")
-    return g.select(
-        "document_id", "chunks", "below", "above", "crossing", "sectioned", F.array_min("ns").alias("token_min"), order_statistic(F.col("ns"), F.floor(n / 2)).alias("token_p50"),
-        order_statistic(F.col("ns"), F.ceil(n * 0.95) - 1).alias("token_p95"), F.array_max("ns").alias("token_max"),
+    # equal sizes are counted first, so a document's list is as long as its sizes differ
+    sizes = rows.groupBy("document_id", "n").agg(F.count("*").alias("c"), F.count_if("crosses").alias("crossing"), F.count_if("sectioned").alias("sectioned"))
+    w = Window.partitionBy("document_id").orderBy("n")
+    total = F.sum("c").over(Window.partitionBy("document_id"))
+    placed = sizes.withColumn("upto", F.sum("c").over(w)).withColumn("total", total)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("n")))
+    return placed.groupBy("document_id").agg(
+        F.sum("c").alias("chunks"), F.coalesce(F.sum(F.when(F.col("n") < least, F.col("c"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("n") > most, F.col("c"))), F.lit(0)).alias("above"), F.sum("crossing").alias("crossing"), F.sum("sectioned").alias("sectioned"),
+        F.min("n").alias("token_min"), at(F.least(F.floor(F.col("total") / 2), F.col("total") - 1)).alias("token_p50"), at(F.ceil(F.col("total") * 0.95) - 1).alias("token_p95"), F.max("n").alias("token_max"),
     )
 
 
@@ -75,69 +74,66 @@ class Budget:
     overlap: int = 60
 
 
-def pack_units(tokens: list[int], heads: list[bool], budget: Budget = Budget()) -> list[list[int]]:
-    """Groups of unit numbers: consecutive units up to the budget, broken before headings, with overlap.
+def pack_spans(tokens: np.ndarray, heads: np.ndarray, budget: Budget = Budget()) -> list[tuple[int, int]]:
+    """(first, end) of the packed groups of a document's units, over prefix sums of their tokens.
 
-    A heading opens a new group once the current one has the least size; a group closes
-    when it has reached the target or would exceed the most; a closed group's last units
-    up to the overlap are repeated in the next, but no heading and nothing before it.
+    From a group's first unit three places are looked up: where the target is reached, where
+    one more unit would exceed the most, and the next heading once the least is reached; the
+    nearest ends it.  The next group repeats the units before it up to the overlap, back to
+    the last heading at most; before a heading, or where they leave no room, none.
     """
-    groups: list[list[int]] = []
-    now: list[int] = []
-    fresh = False  # the group holds more than what was repeated
-
-    def size() -> int:
-        return sum(tokens[i] for i in now)
-
-    def close(repeat: bool) -> None:
-        nonlocal now, fresh
-        if now and fresh:
-            groups.append(now)
-        tail: list[int] = []
-        if repeat:
-            total = 0
-            for i in reversed(now):
-                total += tokens[i]
-                if heads[i] or total > budget.overlap:
-                    break
-                tail.insert(0, i)
-        now, fresh = tail, False
-
-    for i, n in enumerate(tokens):
-        opens = heads[i] and bool(now)
-        if opens and size() >= budget.least:
-            close(False)
-        if now and (size() + n > budget.most or size() >= budget.target):
-            close(not opens)
-            if now and size() + n > budget.most:
-                close(False)
-        now.append(i)
-        fresh = True
-    if now and fresh:
-        groups.append(now)
-    return groups
+    total = np.append(0, np.cumsum(tokens))
+    marks = np.flatnonzero(heads)
+    n, spans, first, fresh = len(tokens), [], 0, 0
+    while fresh < n:
+        base = total[first]
+        full = np.searchsorted(total, base + budget.target)
+        over = np.searchsorted(total[1:], base + budget.most, side="right")
+        ready = np.searchsorted(total, base + budget.least)
+        head = np.searchsorted(marks, max(ready, fresh + 1))
+        end = max(fresh + 1, min(full, over, marks[head] if head < len(marks) else n, n))
+        spans.append((first, int(end)))
+        if end >= n:
+            break
+        first = fresh = int(end)
+        if not heads[end]:
+            before = np.searchsorted(marks, end)
+            back = max(np.searchsorted(total, total[end] - budget.overlap), marks[before - 1] + 1 if before else 0, spans[-1][0])
+            if total[end + 1] - total[back] <= budget.most:
+                first = int(back)
+    return spans
 
 
 def pack_documents(units: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """(document_id, chunk_index, unit_from, unit_to, tokens): units of each document packed to the budget.
 
-    units: document_id, unit_no, unit, in the order of unit_no.  The fold runs over the
-    numbers of one document at a time; the texts stay where they are.
+    units: document_id, unit_no, unit, in the order of unit_no.  Only two numbers a unit are
+    gathered for a document; the texts stay where they are.
     """
     rows = units.select("document_id", "unit_no", T.token_estimate(F.col("unit")).alias("tokens"), T.heading_level(F.col("unit")).isNotNull().alias("head"))
-    listed = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "tokens", "head"))).alias("u"))
+    kind = units.schema["document_id"].dataType.simpleString()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, u in zip(batch["document_id"], batch["u"], strict=True):
-                tokens, heads, nos = [int(x["tokens"]) for x in u], [bool(x["head"]) for x in u], [int(x["unit_no"]) for x in u]
-                for k, group in enumerate(pack_units(tokens, heads, budget)):
-                    out.append((doc, k, nos[group[0]], nos[group[-1]], sum(tokens[i] for i in group)))
-            yield pd.DataFrame(out, columns=["document_id", "chunk_index", "unit_from", "unit_to", "tokens"])
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("unit_no", kind="stable")
+        tokens, numbers = group["tokens"].to_numpy(np.int64), group["unit_no"].to_numpy()
+        spans = pack_spans(tokens, group["head"].to_numpy(bool), budget)
+        out = [(group["document_id"].iloc[0], k, numbers[a], numbers[b - 1], int(tokens[a:b].sum())) for k, (a, b) in enumerate(spans)]
+        return pd.DataFrame(out, columns=["document_id", "chunk_index", "unit_from", "unit_to", "tokens"])
 
-    kind = units.schema["document_id"].dataType.simpleString()
-    return listed.mapInPandas(pack, f"document_id {kind}, chunk_index int, unit_from int, unit_to int, tokens int")
+    return rows.groupBy("document_id").applyInPandas(pack, f"document_id {kind}, chunk_index int, unit_from int, unit_to int, tokens int")
+
+
+def packed_texts(units: DataFrame, packed: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, text, digest, page_start, page_end, units) of packed groups.
+
+    units: document_id, unit_no, unit, page.  The units join the groups by document and number.
+    """
+    wanted = packed.select("document_id", "chunk_index", F.explode(F.sequence("unit_from", "unit_to")).alias("unit_no"))
+    joined = wanted.join(units.select("document_id", "unit_no", "unit", "page"), ["document_id", "unit_no"])
+    # a group holds at most the budget's tokens, so its list is short
+    listed = joined.groupBy("document_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("unit_no", "unit"))).alias("u"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    text = F.array_join(F.transform("u", lambda x: x["unit"]), "\n")
+    return listed.select("document_id", "chunk_index", text.alias("text"), F.sha2(text, 256).alias("digest"), "page_start", "page_end", F.size("u").alias("units"))
 
 
 def section_stack(units: DataFrame) -> DataFrame:

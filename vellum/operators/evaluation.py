@@ -25,10 +25,10 @@ def stratified(rows: DataFrame, dimensions: list[str], success: Column) -> DataF
     One pass over the rows by grouping sets; rows whose success is null are no cases.
     """
     flagged = rows.select(*[F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in dimensions], success.alias("__ok")).where("__ok is not null")
-    sets = ", ".join(f"({d})" for d in dimensions)
-    flagged.createOrReplaceTempView("__strata")
-    ids = " ".join(f"WHEN grouping({d}) = 0 THEN named_struct('d', '{d}', 's', {d})" for d in dimensions)
-    grouped = rows.sparkSession.sql(f"SELECT CASE {ids} ELSE named_struct('d', 'overall', 's', 'all') END AS k, count(*) AS cases, count_if(__ok) AS successes FROM __strata GROUP BY GROUPING SETS ({sets}, ())")
+    sets = [[F.col(d)] for d in dimensions] + [[]]
+    counted = flagged.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(F.count("*").alias("cases"), F.count_if("__ok").alias("successes"), *[F.grouping(d).alias(f"__g_{d}") for d in dimensions])
+    named = F.coalesce(*[F.when(F.col(f"__g_{d}") == 0, F.struct(F.lit(d).alias("d"), F.col(d).alias("s"))) for d in dimensions], F.struct(F.lit("overall").alias("d"), F.lit("all").alias("s")))
+    grouped = counted.select(named.alias("k"), "cases", "successes")
     w = wilson(F.col("successes"), F.col("cases"))
     return grouped.select(F.col("k.d").alias("dimension"), F.col("k.s").alias("stratum"), "cases", "successes", F.round(F.try_divide("successes", "cases"), 6).alias("rate"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
 
@@ -82,9 +82,21 @@ def multi_label_rates(rows: DataFrame, labels: str, success: Column) -> DataFram
     return one.groupBy("label").agg(F.count("*").alias("cases"), F.count_if("ok").alias("successes"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("rate"))
 
 
-def nearest_percentile(values: Column, share: float) -> Column:
-    """The value at round((n - 1) * share) of the sorted list, halves to even."""
-    return F.get(F.sort_array(values), F.bround((F.size(values) - 1) * F.lit(share), 0).cast("int"))
+def nearest_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, one column a share, largest): the value at round((n - 1) * share) of each group's order, halves to even.
+
+    Equal values are counted before they are shuffled and summed up in two levels (blocks of
+    values by range, values of a block), so no group is gathered, however large.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    ranged = cut(counts.repartitionByRange(group, value).withColumn("__part", F.spark_partition_id()))  # cut: the bounds come from a sample
+    blocks = ranged.groupBy(group, "__part").agg(F.sum("n").alias("n"))  # one row a partition and group
+    before = blocks.select(group, "__part", (F.sum("n").over(Window.partitionBy(group).orderBy("__part")) - F.col("n")).alias("before"))
+    total = blocks.groupBy(group).agg(F.sum("n").alias("total"))
+    inside = Window.partitionBy(group, "__part").orderBy(value)
+    upto = ranged.join(before, [group, "__part"]).join(total, group).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    at = lambda share: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(share), 0), F.col(value)))
+    return upto.groupBy(group).agg(F.max("total").alias("n"), *[at(s).alias(name) for name, s in shares.items()], F.max(value).alias("largest"))
 
 
 def coverage(rows: DataFrame, metrics: list[str]) -> DataFrame:

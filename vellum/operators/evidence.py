@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import number_tokens, plain_label
-from vellum.operators.answers import METRICS, signed_numbers
+from vellum.operators.answers import CANONICAL, signed_numbers
 from vellum.operators.retrieval import rank_fusion, top
 from vellum.operators.tables import intersection_share
 
@@ -59,7 +59,7 @@ def authority(query: Column, section: Column, text: Column) -> Column:
         points = points + F.when(F.contains(context, F.lit(cue)), weight).otherwise(0)
     points = points + F.when(F.contains(query, F.lit("可比")) & F.contains(context, F.lit("可比口径")), 30).otherwise(0)
     points = points + F.when(F.contains(query, F.lit("调整后")) & context.rlike("调整后|追溯调整"), 20).otherwise(0)
-    shared = F.filter(F.array(*[F.lit(m) for m in METRICS]), lambda m: F.contains(query, m) & F.contains(context, m))
+    shared = F.filter(F.array(*[F.lit(m) for m in CANONICAL]), lambda m: F.contains(query, m) & F.contains(context, m))
     return points + 12 * F.size(shared)
 
 
@@ -88,7 +88,7 @@ def claim_risks(claim: Column, evidence: Column, contract: Column) -> Column:
     numbers, known = number_tokens(claim), F.concat(number_tokens(evidence), number_tokens(contract))
     years = lambda c: F.regexp_extract_all(c, F.lit("(?:19|20)[0-9]{2}"), F.lit(0))
     negative = F.transform(F.filter(signed_numbers(claim), lambda x: x.startswith("-")), lambda x: F.regexp_replace(x, "^-", ""))
-    metrics = lambda c: F.filter(F.array(*[F.lit(m) for m in METRICS]), lambda m: F.contains(c, m))
+    metrics = lambda c: F.filter(F.array(*[F.lit(m) for m in CANONICAL]), lambda m: F.contains(c, m))
     checks = {
         ("unsupported_number", "reject"): F.size(F.array_except(numbers, known)) > 0,
         ("unsupported_year", "review"): F.size(F.array_except(years(claim), F.concat(years(evidence), years(contract)))) > 0,

@@ -10,16 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import search_tokens
-from vellum.runtime import bounded_broadcast
+from vellum.runtime import bounded_broadcast, cut
 
 K1, B = 1.5, 0.75
 PAYLOAD = "text string, page_start int, page_end int, section_path array<string>"
 
 
-def read_chunks(chunks: DataFrame) -> DataFrame:
-    """Distinct chunks with text, pages and section path out of their payload."""
+def parse_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with text, pages and section path out of their payload, as often as they come."""
     p = F.from_json("payload_json", PAYLOAD)
-    return chunks.select("chunk_id", "document_id", "chunk_index", "document_key", "company_name", "report_year", "document_type", p.alias("p")).select("chunk_id", "document_id", "chunk_index", "document_key", "company_name", "report_year", "document_type", "p.*").distinct()
+    return chunks.select("chunk_id", "document_id", "chunk_index", "document_key", "company_name", "report_year", "document_type", p.alias("p")).select("chunk_id", "document_id", "chunk_index", "document_key", "company_name", "report_year", "document_type", "p.*")
+
+
+def read_chunks(chunks: DataFrame) -> DataFrame:
+    """The distinct chunks, parsed; rows are told apart by a hash before they are parsed."""
+    columns = ["chunk_id", "document_id", "chunk_index", "document_key", "company_name", "report_year", "document_type", "payload_json"]
+    return parse_chunks(chunks.withColumn("__h", F.xxhash64(*columns)).dropDuplicates(["chunk_id", "__h"]))
 
 
 def index_text(section_path: Column, text: Column) -> Column:
@@ -54,19 +60,24 @@ def bm25(queries: DataFrame, documents: DataFrame, text: Column, *, query_key: s
     """(query_id, chunk_id, score, rank): the k best documents of each query.
 
     Statistics are those of the whole index, whatever `keep` filters; a term that a query
-    repeats counts as often.  Tokens that no query has are dropped before they are
-    shuffled, so the shuffle follows the queries, not the corpus.  Ties go by chunk_id.
+    repeats counts as often.  The documents are cut into tokens once; tokens that no query has
+    are dropped before they are shuffled, so the shuffle follows the queries, not the corpus,
+    and carries no text.  A document that comes several times (exact repeats) counts once.
+    Ties go by chunk_id.
     """
-    wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    rows = documents.select(F.col(key).alias("chunk_id"), (keep if keep is not None else F.lit(True)).alias("kept"), search_tokens(text).alias("tokens")).withColumn("length", F.size("tokens"))
-    summary = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    terms = bounded_broadcast(wanted.select("term").distinct())
-    tf = rows.select("chunk_id", "kept", "length", F.explode("tokens").alias("term")).join(terms, "term").groupBy("chunk_id", "kept", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(summary))  # one row of summary
-    scored = tf.where("kept").join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("raw"))
+    wanted = cut(queries.select(F.col(query_key).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    # the empty term stands for the document itself: its length, and how often it comes
+    terms = bounded_broadcast(wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string")))
+    rows = documents.select(F.col(key).alias("chunk_id"), (keep if keep is not None else F.lit(True)).alias("kept"), search_tokens(text).alias("tokens"))
+    found = rows.select("chunk_id", "kept", F.size("tokens").alias("length"), F.explode(F.array_append("tokens", F.lit(""))).alias("term")).join(terms, "term")
+    tf = cut(found.groupBy("chunk_id", "kept", "length", "term").agg(F.count("*").alias("tf")))
+    own = tf.where("term = ''").select("chunk_id", "length", F.col("tf").alias("copies"))
+    summary = own.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
+    once = tf.where("term <> ''").join(own, ["chunk_id", "length"]).withColumn("tf", F.col("tf") / F.col("copies"))
+    df = once.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(summary["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(summary["avgdl"])))
+    scored = once.where("kept").join(wanted.join(df, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("raw"))
     return top(scored, "query_id", [F.round("raw", 9).desc(), F.col("chunk_id")], k).select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
 
 
@@ -98,6 +109,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_i
 
         def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, m = sent.value
+            held = None
             for batch in batches:
                 batch = batch[batch["v"].notna() & batch["i"].notna()]
                 if not len(batch) or not len(ids):
@@ -106,9 +118,13 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_i
                 n = np.linalg.norm(x, axis=1)
                 own = batch["i"].to_numpy()[n > 0]
                 s = np.round(m @ (x[n > 0] / n[n > 0][:, None]).T, 9)
-                order = np.argsort(own, kind="stable")
-                first = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, first.shape[1]), "vec_id": own[order][first].ravel(), "raw": np.take_along_axis(s[:, order], first, axis=1).ravel()})
+                near = np.broadcast_to(own, s.shape)
+                if held is not None:
+                    near, s = np.concatenate([held[0], near], axis=1), np.concatenate([held[1], s], axis=1)
+                first = np.lexsort((near, -s), axis=1)[:, :k]
+                held = np.take_along_axis(near, first, axis=1), np.take_along_axis(s, first, axis=1)
+            if held is not None:
+                yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), "vec_id": held[0].ravel(), "raw": held[1].ravel()})
 
         kind = vectors.schema[key].dataType.simpleString()
         found = vectors.select(F.col(key).alias("i"), F.col(vector).alias("v")).mapInPandas(best, f"query_id {kind}, vec_id {kind}, raw double")

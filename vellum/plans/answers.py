@@ -67,12 +67,13 @@ QUERIES = {f"a_{f.__name__}": f for f in (metric_mentions, amounts, clarificatio
 
 _Q = "q AS (SELECT case_id AS query_id, min(query) AS query FROM agent_cases WHERE query IS NOT NULL GROUP BY 1)"
 _H = "h AS (SELECT DISTINCT * FROM search_hits WHERE query_id IS NOT NULL AND text IS NOT NULL)"
-_M = "|".join(sorted(A.METRICS, key=len, reverse=True))
+_M = "|".join(sorted(A.CANONICAL, key=len, reverse=True))
+_MAP = "MAP {" + ", ".join(f"'{n}': '{m}'" for n, m in A.CANONICAL.items()) + "}"
 _re = lambda words: "|".join(words)
 _ok = "(y = '' OR coalesce(CAST(report_year AS VARCHAR) = y, false) OR contains(text, y))" + "".join(f" AND (NOT contains(query, '{k}') OR regexp_matches(text, '{_re(v)}'))" for k, v in A.SUPPORT.items())
 _sq = r"regexp_replace({}, '[ ,，\t\r\n]+', '', 'g')"
 SQL = {
-    "a_metric_mentions": f"WITH {_Q}, m AS (SELECT query_id, regexp_extract_all(query, '({_M})', 1) AS m FROM q) SELECT query_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') AS metrics FROM m",
+    "a_metric_mentions": f"WITH {_Q}, m AS (SELECT query_id, list_transform(regexp_extract_all(query, '({_M})', 1), lambda n: {_MAP}[n]) AS m FROM q) SELECT query_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') AS metrics FROM m",
     "a_amounts": f"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '{A.AMOUNT}', 1)) AS n, unnest(regexp_extract_all(text, '{A.AMOUNT}', 2)) AS u FROM documents WHERE text IS NOT NULL),
       v AS (SELECT doc_id, CAST(replace(n, ',', '') AS DECIMAL(20, 4)) * CASE u {" ".join(f"WHEN '{k}' THEN {v}" for k, v in A.AMOUNT_FACTORS.items())} END AS v FROM n) SELECT doc_id, count(*) AS amounts, CAST(max(v) AS DOUBLE) AS largest, CAST(min(v) AS DOUBLE) AS smallest FROM v GROUP BY 1""",
     "a_clarifications": f"WITH {_Q}, t AS (SELECT query_id, regexp_replace(query, '[ \\t\\r\\n]+', '', 'g') AS t FROM q) SELECT query_id, CASE WHEN contains(t, '成本') AND NOT regexp_matches(t, '{_re(A.COST_SCOPES)}') THEN 'cost' WHEN contains(t, '利润') AND NOT regexp_matches(t, '{_re(A.PROFIT_SCOPES)}') THEN 'profit' END AS unclear FROM t",

@@ -57,9 +57,18 @@ def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "line_no", "level")
 
 
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("unit_no", "unit")).where(F.trim("unit") != "")
+
+
 def packed_documents(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("unit_no", "unit")).where(F.trim("unit") != "")
-    return D.pack_documents(u)
+    return D.pack_documents(_units(spark, d))
+
+
+def packed_texts(spark: SparkSession, d: str) -> DataFrame:
+    u = _units(spark, d)
+    p = D.packed_texts(u.withColumn("page", F.lit(None).cast("int")), D.pack_documents(u))
+    return p.select("document_id", "chunk_index", "digest", F.char_length("text").alias("characters"), "units")
 
 
 def section_stacks(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +87,7 @@ def number_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(n).alias("numbers"), F.size(F.array_distinct(n)).alias("distinct_numbers"))
 
 
-QUERIES = {f"d_{f.__name__}": f for f in (page_routes, quality_reports, token_estimates, chunk_reports, repeated_lines, duplicate_shares, heading_lines, packed_documents, section_stacks, suspicious_documents, number_totals)}
+QUERIES = {f"d_{f.__name__}": f for f in (page_routes, quality_reports, token_estimates, chunk_reports, repeated_lines, duplicate_shares, heading_lines, packed_documents, packed_texts, section_stacks, suspicious_documents, number_totals)}
 
 _BLANK = T.BLANK
 _EST = f"CAST(greatest(1, len(regexp_extract_all(text, '{T.HAN}')) + ceil(len(regexp_extract_all(lower(regexp_replace(text, '{T.HAN}', ' ', 'g')), '{T.LATIN}')) * 1.3)) AS INT)"
@@ -86,6 +95,17 @@ _LINES = "l AS (SELECT chunk_id, document_id, page_start, CAST(i AS INT) AS line
 _NUM = "一二三四五六七八九十百千万零〇"
 _T = f"trim(regexp_replace(line, '{_BLANK}', ' ', 'g'))"
 _FREE = "length(t) <= 60 AND NOT regexp_matches(t, '[。；;，,：:]$')"
+_LEVEL = f"""CASE WHEN t = '' OR length(t) > 100 OR len(regexp_extract_all(t, '[-+]?[0-9][0-9,.]*')) >= 2 OR regexp_matches(t, '\\.{{5,}}|…{{3,}}') THEN NULL WHEN regexp_matches(t, '^第[{_NUM}0-9]+[编章节] *[^ ]+') THEN 1
+      WHEN regexp_matches(t, '^[{_NUM}]+、 *[^ ]+') AND {_FREE} THEN 2 WHEN regexp_matches(t, '^[（(][{_NUM}0-9]+[）)] *[^ ]+') AND {_FREE} THEN 3 WHEN regexp_matches(t, '^[0-9]+(?:\\.[0-9]+)+[.、]? *[^ ]+') AND {_FREE} THEN 4 WHEN regexp_matches(t, '^[0-9]+[.、] *[^ ]+') AND {_FREE} THEN 4 END"""
+#: Packing as a fold over the units of each document, one unit a step.
+_PACKED = f"""RECURSIVE u AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no FROM documents WHERE text IS NOT NULL),
+      v AS (SELECT document_id, unit_no, line AS text, {_T} AS t FROM u WHERE trim(line) <> ''), n AS (SELECT document_id, unit_no, text, {_EST} AS tokens, {_LEVEL} IS NOT NULL AS head FROM v),
+      e AS (SELECT *, row_number() OVER w - 1 AS i, sum(tokens) OVER w AS upto, sum(tokens) OVER w - tokens AS before, coalesce(max(CASE WHEN head THEN unit_no END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS mark FROM n WINDOW w AS (PARTITION BY document_id ORDER BY unit_no)),
+      b AS (SELECT x.document_id, x.i, coalesce(min(y.i), any_value(x.i)) AS back FROM e x LEFT JOIN e y ON y.document_id = x.document_id AND y.i < x.i AND y.unit_no > x.mark AND x.before - y.before <= 60 GROUP BY x.document_id, x.i),
+      f AS (SELECT document_id, i, 0 AS k, i AS first, before AS base FROM e WHERE i = 0
+        UNION ALL SELECT g.document_id, g.i, g.k + CAST(g.shut AS INT), CASE WHEN NOT g.shut THEN g.first WHEN g.head OR g.upto - o.before > 650 THEN g.i ELSE g.again END, CASE WHEN NOT g.shut THEN g.base WHEN g.head OR g.upto - o.before > 650 THEN g.before ELSE o.before END
+        FROM (SELECT e.document_id, e.i, e.head, e.upto, e.before, f.k, f.first, f.base, greatest(b.back, f.first) AS again, (e.head AND e.before - f.base >= 100) OR e.upto - f.base > 650 OR e.before - f.base >= 450 AS shut FROM f JOIN e ON e.document_id = f.document_id AND e.i = f.i + 1 JOIN b ON b.document_id = e.document_id AND b.i = e.i) g JOIN e o ON o.document_id = g.document_id AND o.i = g.again),
+      packed AS (SELECT f.document_id, CAST(f.k AS INT) AS chunk_index, min(a.unit_no) AS unit_from, max(z.unit_no) AS unit_to, max(z.upto) - min(a.before) AS tokens FROM f JOIN e a ON a.document_id = f.document_id AND a.i = f.first JOIN e z ON z.document_id = f.document_id AND z.i = f.i GROUP BY f.document_id, f.k)"""
 SQL = {
     "d_page_routes": """WITH p AS (SELECT DISTINCT * FROM page_quality), x AS (SELECT *, coalesce(native_char_count, 0) AS n, coalesce(image_count, 0) AS i, coalesce(replacement_char_ratio, 0) AS s FROM p), y AS (SELECT *, CASE WHEN i > 0 THEN least(1.0, i * 0.35) ELSE 0 END AS a FROM x),
       r AS (SELECT *, CASE WHEN n = 0 AND i > 0 THEN 'full_ocr' WHEN n = 0 THEN 'manual_review' WHEN s > 0.02 AND a >= 0.65 THEN 'full_ocr' WHEN s > 0.02 THEN 'manual_review' WHEN i > 0 AND a >= 0.65 AND n < 100 THEN 'partial_ocr' WHEN i > 0 AND n < 20 THEN 'partial_ocr' ELSE 'native' END AS recommended_route FROM y)
@@ -101,8 +121,10 @@ SQL = {
       t AS (SELECT document_id, count(DISTINCT page_start) AS total FROM c WHERE text IS NOT NULL GROUP BY 1), s AS (SELECT document_id, key, count(DISTINCT page_start) AS pages FROM k WHERE key <> '' GROUP BY ALL)
       SELECT s.document_id, key, pages FROM s JOIN t ON s.document_id = t.document_id WHERE pages >= greatest(3, ceil(total * 0.2))""",
     "d_duplicate_shares": f"""WITH {_C}, {_LINES}, k AS (SELECT chunk_id, regexp_replace(line, '{_BLANK}', '', 'g') AS key, count(*) AS n FROM l GROUP BY ALL) SELECT chunk_id, round(least(sum((n - 1) * length(key)) / sum(n * length(key)), 1.0), 6) AS duplicate_share FROM k WHERE key <> '' GROUP BY 1""",
-    "d_heading_lines": f"""WITH {_C}, {_LINES}, x AS (SELECT chunk_id, line_no, {_T} AS t FROM l), y AS (SELECT *, CASE WHEN t = '' OR length(t) > 100 OR len(regexp_extract_all(t, '[-+]?[0-9][0-9,.]*')) >= 2 OR regexp_matches(t, '\\.{{5,}}|…{{3,}}') THEN NULL WHEN regexp_matches(t, '^第[{_NUM}0-9]+[编章节] *[^ ]+') THEN 1
-      WHEN regexp_matches(t, '^[{_NUM}]+、 *[^ ]+') AND {_FREE} THEN 2 WHEN regexp_matches(t, '^[（(][{_NUM}0-9]+[）)] *[^ ]+') AND {_FREE} THEN 3 WHEN regexp_matches(t, '^[0-9]+(?:\\.[0-9]+)+[.、]? *[^ ]+') AND {_FREE} THEN 4 WHEN regexp_matches(t, '^[0-9]+[.、] *[^ ]+') AND {_FREE} THEN 4 END AS level FROM x) SELECT chunk_id, line_no, level FROM y WHERE level IS NOT NULL""",
+    "d_heading_lines": f"""WITH {_C}, {_LINES}, x AS (SELECT chunk_id, line_no, {_T} AS t FROM l), y AS (SELECT *, {_LEVEL} AS level FROM x) SELECT chunk_id, line_no, level FROM y WHERE level IS NOT NULL""",
+    "d_packed_documents": f"WITH {_PACKED} SELECT document_id, chunk_index, CAST(unit_from AS INT) AS unit_from, CAST(unit_to AS INT) AS unit_to, CAST(tokens AS INT) AS tokens FROM packed",
+    "d_packed_texts": f"""WITH {_PACKED}, j AS (SELECT p.document_id, p.chunk_index, string_agg(v.text, chr(10) ORDER BY v.unit_no) AS text, count(*) AS units FROM packed p JOIN v ON v.document_id = p.document_id AND v.unit_no BETWEEN p.unit_from AND p.unit_to GROUP BY 1, 2)
+      SELECT document_id, chunk_index, sha256(text) AS digest, CAST(length(text) AS INT) AS characters, CAST(units AS INT) AS units FROM j""",
     "d_suspicious_documents": r"""WITH x AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, round(coalesce(len(regexp_extract_all(t, '[\p{Cc}\p{Co}\x{FFFD}]')) / nullif(length(t), 0), 0), 9) AS suspicious_share FROM x) SELECT * FROM y WHERE suspicious_share > 0""",
     "d_number_totals": r"""WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')), lambda x: NOT regexp_matches(x, '^(?:19[0-9][0-9]|20[0-9][0-9]|2100)$')) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(n) AS numbers, len(list_distinct(n)) AS distinct_numbers FROM x""",
 }

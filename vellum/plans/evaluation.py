@@ -41,8 +41,7 @@ def macro_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("vs"), F.count("*").alias("n"), F.max("value").alias("largest"))
-    return g.select("event_type", "n", E.nearest_percentile(F.col("vs"), 0.5).alias("p50"), E.nearest_percentile(F.col("vs"), 0.95).alias("p95"), "largest")
+    return E.nearest_percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 def metric_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +49,7 @@ def metric_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    rows = _answered(spark, d).select(F.coalesce(F.get("evidence_sources", F.lit(0))["document_key"], F.lit("")).alias("cluster"), F.col("found").cast("double").alias("v"))
+    rows = _answered(spark, d).select(F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce("evidence_sources", F.array()), lambda e: e["document_key"]))), ",").alias("cluster"), F.col("found").cast("double").alias("v"))
     return E.clustered_bootstrap(rows, "cluster", "v")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import evidence as E
-from vellum.operators.answers import METRICS
+from vellum.operators.answers import CANONICAL
 from vellum.plans.answers import _h, _q
 from vellum.plans.retrieval import _C, _chunks
 from vellum.runtime import table
@@ -71,7 +71,7 @@ _sq = r"regexp_replace({}, '[ \t\r\n\f\x{{00a0}}\x{{3000}}]+', '', 'g')"
 _num = lambda t: rf"list_filter(list_transform(regexp_extract_all({t}, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')), lambda x: NOT regexp_matches(x, '^(?:19[0-9][0-9]|20[0-9][0-9]|2100)$'))"
 _sgn = lambda t: rf"list_filter(list_transform(regexp_extract_all(regexp_replace({t}, '[(（]([0-9][0-9,]*(?:\.[0-9]+)?%?)[)）]', '-\1', 'g'), '-?[0-9][0-9,]*(?:\.[0-9]+)?%?'), lambda x: replace(x, ',', '')), lambda x: NOT regexp_matches(x, '^-?(?:19[0-9][0-9]|20[0-9][0-9]|2100)$'))"
 _yr = lambda t: f"regexp_extract_all({t}, '(?:19|20)[0-9]{{2}}')"
-_ML = "[" + ", ".join(f"'{m}'" for m in METRICS) + "]"
+_ML = "[" + ", ".join(f"'{m}'" for m in CANONICAL) + "]"
 _met = lambda t: f"list_filter({_ML}, lambda m: contains({t}, m))"
 _less = lambda a, b: f"len(list_filter({a}, lambda v: NOT list_contains({b}, v))) > 0"
 SQL = {
@@ -86,7 +86,7 @@ SQL = {
     "v_sufficient_targets": f"WITH {_H}, n AS (SELECT query_id, count(DISTINCT chunk_id) AS n FROM h GROUP BY 1) SELECT case_id AS target, coalesce(n, 0) AS chunks, coalesce(n, 0) >= 3 AS sufficient FROM (SELECT DISTINCT case_id FROM agent_cases) LEFT JOIN n ON query_id = case_id",
     "v_weight_sweep": f"""WITH {_H}, g AS (SELECT query_id, chunk_id, min(lexical_rank) AS l, min(dense_rank) AS d FROM h GROUP BY 1, 2), w AS (SELECT * FROM (VALUES ('1:0', 1, 0), ('2:1', 2, 1), ('1:1', 1, 1), ('1:2', 1, 2), ('0:1', 0, 1)) v(weights, a, b)), s AS (SELECT weights, query_id, chunk_id, coalesce(a / (60.0::DOUBLE + l), 0) + coalesce(b / (60.0::DOUBLE + d), 0) AS raw FROM g, w)
       SELECT weights, query_id, chunk_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY weights, query_id ORDER BY round(raw, 12) DESC, chunk_id) AS INT) AS rank FROM s) WHERE rank <= 5""",
-    "v_claim_checks": f"""WITH {_Q}, {_H}, a AS (SELECT query_id, min(text) AS t FROM h WHERE hit_rank = 1 GROUP BY 1), b AS (SELECT query_id, min(text) AS e FROM h WHERE hit_rank = 2 GROUP BY 1), x AS (SELECT a.query_id, substr(t, 1, 200) AS c, e, query AS k FROM a JOIN b ON b.query_id = a.query_id JOIN q ON q.query_id = a.query_id),
+    "v_claim_checks": f"""WITH {_Q}, {_H}, a AS (SELECT query_id, min(text) AS t FROM h WHERE hit_rank = 1 GROUP BY 1), b AS (SELECT query_id, min(text) AS e FROM h WHERE hit_rank = 2 GROUP BY 1), x AS (SELECT a.query_id, t AS c, e, query AS k FROM a JOIN b ON b.query_id = a.query_id JOIN q ON q.query_id = a.query_id),
       r AS (SELECT query_id, {_less(_num('c'), f"list_concat({_num('e')}, {_num('k')})")} AS n, {_less(_yr('c'), f"list_concat({_yr('e')}, {_yr('k')})")} AS y, len(list_filter({_sgn('c')}, lambda v: starts_with(v, '-') AND list_contains(list_filter({_sgn('k')}, lambda z: NOT starts_with(z, '-')), substr(v, 2)))) > 0 AS s, {_less(_met('k'), _met('c'))} AS m, trim(e) = '' AS z FROM x)
       SELECT query_id, array_to_string(list_filter([CASE WHEN n THEN 'unsupported_number' END, CASE WHEN y THEN 'unsupported_year' END, CASE WHEN s THEN 'sign_conflict' END, CASE WHEN m THEN 'missing_metric' END, CASE WHEN z THEN 'no_evidence' END], lambda v: v IS NOT NULL), ',') AS checks, CASE WHEN n OR s OR z THEN 'reject' WHEN y OR m THEN 'review' ELSE 'pass' END AS verdict FROM r""",
     "v_context_budget": f"WITH {_H} SELECT query_id, hit_id, used FROM (SELECT query_id, hit_id, CAST(sum(length(text)) OVER (PARTITION BY query_id ORDER BY hit_rank, hit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM h) WHERE used <= 2000",

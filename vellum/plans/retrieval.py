@@ -39,12 +39,12 @@ def index_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(_queries(spark, d), _chunks(spark, d), _index_text())
+    return R.bm25(_queries(spark, d), R.parse_chunks(table(spark, d, "chunks")), _index_text())
 
 
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     keep = F.coalesce(F.col("report_year").isin(2022, 2023, 2024) & (F.col("document_type") == "annual_report"), F.lit(False))
-    return R.bm25(_queries(spark, d), _chunks(spark, d), _index_text(), keep=keep)
+    return R.bm25(_queries(spark, d), R.parse_chunks(table(spark, d, "chunks")), _index_text(), keep=keep)
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +211,7 @@ SQL = {
       SELECT query_id, chunk_id, lexical_rank, dense_rank, round(raw, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, chunk_id) AS INT) AS rank FROM s) WHERE rank <= 10""",
     "r_nearest_vectors": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 9) AS raw FROM e q, e WHERE q.vec_id % {EVERY} = 0)
       SELECT query_id, vec_id, round(raw, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 10""",
-    "r_page_windows": f"""WITH {_C}, {_H}, a AS (SELECT DISTINCT chunk_id AS anchor_id FROM h WHERE hit_id % {EVERY} = 0), w AS (SELECT anchor_id, document_id, chunk_index AS idx, greatest(page_start - 1, 1) AS low, page_end + 1 AS high FROM a JOIN c ON chunk_id = anchor_id),
+    "r_page_windows": f"""WITH {_C}, {_H}, a AS (SELECT DISTINCT chunk_id AS anchor_id FROM h), w AS (SELECT anchor_id, document_id, chunk_index AS idx, greatest(page_start - 1, 1) AS low, page_end + 1 AS high FROM a JOIN c ON chunk_id = anchor_id),
       n AS (SELECT anchor_id, c.chunk_id, c.chunk_index, row_number() OVER (PARTITION BY anchor_id ORDER BY abs(c.chunk_index - idx), c.chunk_index, c.chunk_id) AS near FROM w JOIN c USING (document_id) WHERE page_end >= low AND page_start <= high)
       SELECT anchor_id, chunk_id, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY chunk_index, chunk_id) AS INT) AS position FROM n WHERE near <= 12""",
     "r_statement_scopes": f"""WITH {_C}, x AS (SELECT chunk_id, document_id, chunk_index, regexp_replace(array_to_string(coalesce(section_path, []), '') || substr(text, 1, 800), '[ \\t\\r\\n\\f\\x{{3000}}]+', '', 'g') AS x FROM c),

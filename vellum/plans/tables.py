@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import plain_label, plain_value
+from vellum.operators import regulated as G
 from vellum.operators import tables as T
 from vellum.plans.documents import _chunks
 from vellum.plans.retrieval import _C
@@ -78,16 +79,31 @@ def proof_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", F.array_join(T.table_kinds(F.col("text")), ",").alias("kinds"))
+    return _chunks(spark, d).select("chunk_id", F.array_join(G.table_kinds(F.col("text")), ",").alias("kinds"))
+
+
+#: Texts that show the regulated tables, as no test table does; they are read beside the chunks and documents.
+SHOWN = [
+    ("x-quarterly", "2023年分季度主要财务数据 第一季度（1-3 月份） 第二季度（4-6 月份） 第三季度（7-9 月份） 第四季度（10-12 月份） 营业收入 1,200.50 1,310.00 1,405.75 1,500.25 归属于上市公司股东的净利润 100.5 -20.25 130 145.75"),
+    ("x-uneven", "第一季度 第二季度 第三季度 第四季度 营业收入 1 2 3"),
+    ("x-note", "营业收入和营业成本 项目 本期发生额 上期发生额 收入 成本 收入 成本 主营业务 9,000.10 5,000.20 8,000.30 4,000.40 其他业务 10 5 8 4 合计 9,010.10 5,005.20 8,008.30 4,004.40"),
+    ("x-segment", "主营业务分行业情况 分行业 营业收入 营业成本 毛利率（%） 营业收入比上年增减（%） 食品 500.00 300.00 40.00 5.1 4.2 纺织品 200 150 25 -3.0 -2.0 1.5 营业收入 1 2 3 4 5 主营业务分地区情况 分地区 毛利率比上年增减（%） 华东 77.5 66.5 14.19 1 2 增加 3 个百分点"),
+    ("x-annual", "主要会计数据 2023年 2022年 本期比上年同期增减(%) 2021年 营业收入 1,000.5 900.25 11.1 800 归属于上市公司股东的净利润 -10.5 20 30.25 2023年末 2022年末 本期末比上年同期末增减（%） 2021年末 总资产 5,000 4,500 11 4,000 归属于上市公司股东的净资产 2,000 1,900 5.3 1,800"),
+    ("x-shares", "前五名客户销售额 12,345.67 万元，占年度销售总额 23.45%；前五名供应商采购额 2,345 万元，占年度采购总额 8.9%。"),
+]
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("chunk_id", "text").unionByName(spark.createDataFrame(SHOWN, "chunk_id string, text string"))
 
 
 def concentration(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return T.concentration_cells(docs, "doc_id", "text")
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(spark.createDataFrame(SHOWN, "doc_id string, text string"))
+    return docs.select("doc_id", F.inline(G.concentration_cells(F.col("text")))).drop("section")
 
 
 def extracted_tables(spark: SparkSession, d: str) -> DataFrame:
-    return T.extract_tables(_chunks(spark, d), "chunk_id", "text")
+    return G.extract_tables(_shown(spark, d), "chunk_id", "text")
 
 
 def column_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +129,43 @@ _L = r"regexp_replace({}, '[ \t\r\n\f\x{{00a0}}\x{{3000}}]+', '', 'g')"
 _TL = _L.format("text")
 _all = lambda ws: " AND ".join(f"contains(t, '{w}')" for w in ws)
 _any = lambda ws: "(" + " OR ".join(f"contains(t, '{w}')" for w in ws) + ")"
+_SHOWN = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in SHOWN) + ") v(k, text)"
+
+
+def _tables_sql() -> str:
+    """All families in one statement: regions, runs of numbers, labels behind the header words."""
+    lst = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    plain = "translate(replace(replace({}, ',', ''), '+', ''), '−', '-')"
+    words = lambda hs: "|".join(h.replace("(", "[(]").replace(")", "[)]") for h in hs)
+    label = lambda hs: f"regexp_replace(regexp_replace(regexp_replace(l, '^.*(?:{words(hs)})', ''), '\\s+', '', 'g'), '{G.EDGES}', '', 'g')"
+    nums = lambda c: f"regexp_extract_all({c}, '{G.NUMBER}')"
+    runs = lambda c: f"unnest(regexp_extract_all({c}, '{G.RUN}', 1)) AS l, unnest(regexp_extract_all({c}, '{G.RUN}', 2)) AS r, generate_subscripts(regexp_extract_all({c}, '{G.RUN}', 1), 1) AS i"
+    segments = " UNION ALL ".join(
+        f"SELECT k, {n} AS o, '{t}' AS section, substr(t, instr(t, '{t}') + {len(t)}) AS rest FROM s WHERE contains(t, '{t}')" for n, t in enumerate(G.SEGMENT_TITLES)
+    )
+    ends = "least(" + ", ".join(f"CASE WHEN section <> '{t}' AND instr(rest, '{t}') > 0 THEN instr(rest, '{t}') ELSE length(rest) + 1 END" for t in G.SEGMENT_TITLES) + ")"
+    cell = lambda kind, row, column, value, section, order: f"SELECT k AS key, '{kind}' AS table_kind, {row} AS row_label, {column} AS column_label, {plain.format(value)} AS cell_value, {section} AS section, CAST(row_number() OVER (PARTITION BY k ORDER BY {order}) - 1 AS INT) AS cell_no"
+    notes = " UNION ALL ".join(f"SELECT k, {n} AS o, '{r}' AS row, {nums(f'substr(t, instr(t, {chr(39)}{r}{chr(39)}) + {len(r)})')} AS n FROM note WHERE contains(t, '{r}')" for n, r in enumerate(G.NOTE_ROWS))
+    shares = " UNION ALL ".join(f"SELECT k, {n} AS o, '{r}' AS row, '{c}' AS col, regexp_extract(t, '{p}', 1) AS v FROM s WHERE list_contains(kinds, 'concentration')" for n, (r, c, p) in enumerate(G.CONCENTRATION))
+    tl = _L.format("text")
+    kinds = f"""list_filter([CASE WHEN {_all(G.QUARTERS)} THEN 'quarterly' END, CASE WHEN {_all(['营业收入和营业成本', '本期发生额', '上期发生额', '收入', '成本'])} THEN 'note_cost' END, CASE WHEN {_any(G.SEGMENT_TITLES)} THEN 'segment' END,
+      CASE WHEN contains(t, '主要会计数据') AND len(list_distinct(regexp_extract_all(t, '20[0-9]{{2}}年'))) >= 3 THEN 'annual_data' END, CASE WHEN {_any(['前五名客户销售额', '前五名供应商采购额'])} THEN 'concentration' END], lambda x: x IS NOT NULL)"""
+    return f"""WITH {_C}, u AS (SELECT chunk_id AS k, text FROM c WHERE text IS NOT NULL UNION ALL {_SHOWN}), z AS (SELECT k, text, {tl} AS t FROM u), s AS (SELECT k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, {kinds} AS kinds FROM z),
+      q0 AS (SELECT k, regexp_replace(t, '[（(]\\s*[0-9]+\\s*[-—]\\s*[0-9]+\\s*月份?[）)]', '', 'g') AS t FROM s WHERE list_contains(kinds, 'quarterly')),
+      q1 AS (SELECT k, substr(t, greatest(instr(t, '{G.QUARTERS[0]}'), 1)) AS t FROM q0), q2 AS (SELECT k, list_filter({lst(G.QUARTER_ROWS)}, lambda r: contains(replace(t, ' ', ''), r)) AS rows, {nums('t')} AS n FROM q1),
+      q AS (SELECT k, rows, n[i + 1] AS v, i FROM (SELECT k, rows, n, unnest(range(len(n))) AS i FROM q2 WHERE len(rows) > 0 AND len(n) = 4 * len(rows))),
+      note AS (SELECT * FROM s WHERE list_contains(kinds, 'note_cost')), n1 AS ({notes}), n2 AS (SELECT k, o, row, n, unnest(range(4)) AS i FROM n1 WHERE len(n) >= 4),
+      g0 AS (SELECT * FROM ({segments}) WHERE k IN (SELECT k FROM s WHERE list_contains(kinds, 'segment'))), g1 AS (SELECT k, o, section, substr(rest, 1, {ends} - 1) AS x FROM g0), g2 AS (SELECT k, o, section, {runs('x')} FROM g1),
+      g3 AS (SELECT k, o, section, i, {label(G.SEGMENT_HEADS)} AS row, {nums('r')} AS n FROM g2), g AS (SELECT *, unnest(range(3)) AS j FROM g3 WHERE len(n) IN (5, 6) AND row <> '' AND length(row) <= 24 AND NOT regexp_matches(row, '{'|'.join(G.SEGMENT_JUNK)}')),
+      a0 AS (SELECT k, t, length(regexp_extract(t, '^(.*?)20[0-9]{{2}}\\s*年末', 1)) AS cutat, regexp_matches(t, '20[0-9]{{2}}\\s*年末') AS two FROM s WHERE list_contains(kinds, 'annual_data')),
+      a1 AS (SELECT k, 0 AS o, CASE WHEN two THEN substr(t, 1, cutat) ELSE t END AS x FROM a0 UNION ALL SELECT k, 1, substr(t, cutat + 1) FROM a0 WHERE two), y0 AS (SELECT k, o, x, regexp_extract_all(x, '(20[0-9]{{2}})\\s*年', 1) AS ys FROM a1),
+      y AS (SELECT k, o, x, list_filter(ys, lambda v, i: list_position(ys, v) = i)[1:3] AS ys FROM y0), a2 AS (SELECT k, o, ys, {runs('x')} FROM y WHERE len(ys) = 3), a3 AS (SELECT k, o, ys, i, {label(G.ANNUAL_HEADS)} AS row, {nums('r')} AS n FROM a2),
+      a AS (SELECT *, unnest(range(3)) AS j FROM a3 WHERE list_contains({lst(G.ANNUAL_ROWS)}, row) AND len(n) IN (3, 4)), c5 AS ({shares})
+      {cell('quarterly', 'rows[i // 4 + 1]', lst(G.QUARTERS) + '[i % 4 + 1]', 'v', "''", 'i')} FROM q UNION ALL {cell('note_cost', 'row', lst(G.NOTE_COLUMNS) + '[i + 1]', 'n[i + 1]', "''", 'o, i')} FROM n2
+      UNION ALL {cell('segment', 'row', lst(G.SEGMENT_COLUMNS) + '[j + 1]', 'n[j + 1]', 'section', 'o, i, j')} FROM g UNION ALL {cell('annual_data', 'row', "ys[j + 1] || '年'", 'n[CASE WHEN j = 2 THEN len(n) ELSE j + 1 END]', "''", 'o, i, j')} FROM a
+      UNION ALL {cell('concentration', 'row', 'col', 'v', f"'{G.CONCENTRATION_SECTION}'", 'o')} FROM c5 WHERE v <> ''"""
+
+
 SQL = {
     "t_row_indexes": f"WITH {_P}, f AS (SELECT table_id, row_label, min(proof_id) AS first FROM p WHERE row_label IS NOT NULL AND table_id IS NOT NULL GROUP BY ALL) SELECT table_id, row_label, CAST(row_number() OVER (PARTITION BY table_id ORDER BY first, row_label) AS INT) AS label_index FROM f",
     "t_unique_geometry": f"""WITH {_P}, k AS (SELECT document_key, row_label, column_label, cell_value, count(*) AS n, any_value(page_number) AS page_number, any_value(value_bbox.y0) AS y0 FROM p WHERE geometry_status = 'coordinate' GROUP BY 1, 2, 3, 4 HAVING count(*) = 1)
@@ -127,9 +180,10 @@ SQL = {
     "t_rotated_boxes": f"""WITH {_B} SELECT box_id, round(CASE page_number % 4 WHEN 1 THEN 842.0 - y1 WHEN 2 THEN 595.0 - x1 WHEN 3 THEN y0 ELSE x0 END, 3) AS x0, round(CASE page_number % 4 WHEN 1 THEN x0 WHEN 2 THEN 842.0 - y1 WHEN 3 THEN 595.0 - x1 ELSE y0 END, 3) AS y0,
       round(CASE page_number % 4 WHEN 1 THEN 842.0 - y0 WHEN 2 THEN 595.0 - x0 WHEN 3 THEN y1 ELSE x1 END, 3) AS x1, round(CASE page_number % 4 WHEN 1 THEN x1 WHEN 2 THEN 842.0 - y0 WHEN 3 THEN 595.0 - x0 ELSE y1 END, 3) AS y1 FROM b""",
     "t_proof_hashes": f"WITH {_P} SELECT proof_id, sha256(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("table_id", "table_type", "chunk_id", "chunk_sha256", "row_label", "row_index", "column_label", "cell_value", "page_number")) + ")) AS binding FROM p",
-    "t_table_kinds": f"""WITH {_C}, y AS (SELECT chunk_id, {_TL} AS t FROM c WHERE text IS NOT NULL) SELECT chunk_id, array_to_string(list_filter([CASE WHEN {_all(T.QUARTERS)} THEN 'quarterly' END, CASE WHEN {_all(['营业收入和营业成本', '本期发生额', '上期发生额', '收入', '成本'])} THEN 'note_cost' END, CASE WHEN {_any(T.SEGMENT_TITLES)} THEN 'segment' END,
+    "t_table_kinds": f"""WITH {_C}, y AS (SELECT chunk_id, {_TL} AS t FROM c WHERE text IS NOT NULL) SELECT chunk_id, array_to_string(list_filter([CASE WHEN {_all(G.QUARTERS)} THEN 'quarterly' END, CASE WHEN {_all(['营业收入和营业成本', '本期发生额', '上期发生额', '收入', '成本'])} THEN 'note_cost' END, CASE WHEN {_any(G.SEGMENT_TITLES)} THEN 'segment' END,
       CASE WHEN contains(t, '主要会计数据') AND len(list_distinct(regexp_extract_all(t, '20[0-9]{{2}}年'))) >= 3 THEN 'annual_data' END, CASE WHEN {_any(['前五名客户销售额', '前五名供应商采购额'])} THEN 'concentration' END], lambda x: x IS NOT NULL), ',') AS kinds FROM y""",
-    "t_concentration": "WITH r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS row_label, '{c}' AS column_label, replace(regexp_extract(text, '{p}', 1), ',', '') AS cell_value FROM documents WHERE text IS NOT NULL" for r, c, p in T.CONCENTRATION) + ") SELECT * FROM r WHERE cell_value <> ''",
+    "t_concentration": f"WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL {_SHOWN}), r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS row_label, '{c}' AS column_label, replace(regexp_extract(text, '{p}', 1), ',', '') AS cell_value FROM d WHERE text IS NOT NULL" for r, c, p in G.CONCENTRATION) + ") SELECT * FROM r WHERE cell_value <> ''",
+    "t_extracted_tables": _tables_sql(),
     "t_number_agreement": f"""WITH a AS (SELECT document_key, v, count(*) AS na FROM (SELECT document_key, {_V} AS v FROM (SELECT DISTINCT * FROM cell_proofs) WHERE document_key IS NOT NULL) WHERE regexp_matches(v, '^-?[0-9]+([.][0-9]+)?$') GROUP BY ALL), b AS (SELECT document_key, v, count(*) AS nb FROM (SELECT document_key, {_V} AS v FROM (SELECT DISTINCT * FROM extracted_cells) WHERE document_key IS NOT NULL) WHERE regexp_matches(v, '^-?[0-9]+([.][0-9]+)?$') GROUP BY ALL),
       j AS (SELECT coalesce(a.document_key, b.document_key) AS document_key, na, nb FROM a FULL JOIN b ON a.document_key = b.document_key AND a.v = b.v), g AS (SELECT document_key, CAST(coalesce(sum(na), 0) AS BIGINT) AS reference, CAST(coalesce(sum(nb), 0) AS BIGINT) AS candidate, CAST(coalesce(sum(CASE WHEN na IS NULL THEN 0 ELSE least(na, coalesce(nb, 0)) END), 0) AS BIGINT) AS shared FROM j GROUP BY 1)
       SELECT *, round(coalesce(shared / nullif(candidate, 0), 0), 6) AS precision, round(coalesce(shared / nullif(reference, 0), 0), 6) AS recall, round(coalesce(2 * shared / nullif(candidate + reference, 0), 0), 6) AS f1 FROM g""",

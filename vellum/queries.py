@@ -38,9 +38,13 @@ from vellum.plans import documents as _documents  # noqa: E402
 from vellum.plans import evaluation as _evaluation  # noqa: E402
 from vellum.plans import evidence as _evidence  # noqa: E402
 from vellum.plans import retrieval as _retrieval  # noqa: E402
+from vellum.plans import scoring as _scoring  # noqa: E402
+from vellum.plans import scoring_sql as _scoring_sql  # noqa: E402
 from vellum.plans import streaming as _streaming  # noqa: E402
 from vellum.plans import tables as _tables  # noqa: E402
 
 for _plan in (_retrieval, _documents, _tables, _evaluation, _streaming, _answers, _evidence):
     QUERIES |= _plan.QUERIES
     SQL |= _plan.SQL
+QUERIES |= _scoring.QUERIES
+SQL |= _scoring_sql.SQL

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is sent to every executor only if its row count was checked against this bound.
-BROADCAST_ROWS = 200_000
+#: A side is sent to every executor only if its rows and their bytes were checked against these bounds.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def session(app: str = "vellum", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +22,7 @@ def session(app: str = "vellum", master: str | None = None, **conf: str) -> Spar
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     }
     for k, v in (defaults | {k.replace("_", "."): v for k, v in conf.items()}).items():
@@ -37,8 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only where spark.checkpoint.dir is unset (tests on one machine) a folder of
-    this machine is made and set.
+    Only where spark.checkpoint.dir is unset and all tasks run on this machine a folder of
+    it is made and set; on a cluster an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -47,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.match(r"local(\[(\d+|\*)(,\s*\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vellum-checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -58,27 +61,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if df has at most `rows` rows (counted), else leave the choice to AQE."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if df has at most so many rows and bytes (counted, as JSON), else leave the choice to AQE.
 
-
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 8, spread: Column | None = None) -> DataFrame:
-    """Equi-join that survives hot keys of `big`.
-
-    Each row of `small` is repeated once per salt and each row of `big` takes one
-    salt, so a key that holds a third of all rows is read by `salts` tasks.
+    The count stops at the bound; df should be cheap to compute twice (a checkpoint or a small table).
     """
-    salt = F.pmod(F.xxhash64(*(spread,) if spread is not None else [F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
-    left = big.withColumn("__salt", salt)
-    right = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
-
-
-def cores(spark: SparkSession) -> int:
-    """Task slots of the running application."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df

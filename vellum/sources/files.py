@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
 from collections.abc import Iterator
@@ -11,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.runtime import shared_folder
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -113,13 +111,3 @@ def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
 def replace_pages(base: DataFrame, retry: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of base with those of retry in their place where the keys are the same."""
     return base.join(retry.select(*keys), keys, "left_anti").unionByName(retry)
-
-
-def working_folder(spark: SparkSession, name: str) -> str:
-    """A folder in the shared one that the cluster names."""
-    return f"{shared_folder(spark)}/{name}"
-
-
-def unescape(text: str) -> str:
-    """All entities of a text, for single strings on the driver."""
-    return html.unescape(text)
