@@ -204,3 +204,10 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VO
         })
 
     return grouped.groupBy("group_no").applyInPandas(fill, f"doc_id {kind}, part_no int, container_id string, first_token int, tokens int")
+
+
+def containment(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, whole, fits): whether a document's parts follow one another from 0, and all its containers keep to the capacity."""
+    load = packed.groupBy("container_id").agg(F.sum("tokens").alias("load"))
+    each = packed.join(load, "container_id").groupBy("doc_id").agg(F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.sum("tokens").alias("tokens"), F.min("first_token").alias("begin"), F.max("load").alias("load"))
+    return each.select("doc_id", ((F.col("begin") == 0) & (F.col("end") == F.col("tokens"))).alias("whole"), (F.col("load") <= capacity).alias("fits"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.textforms import json_text
+from vellum.runtime import cut
 
 LIMIT, OVERLAP = 1200, 100
 #: Characters on each side of a place that are compared, and the width of their hashed word counts.
@@ -106,7 +107,7 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     chunks: chunk_id, document_id, chunk_index, payload_json.  Result: chunk_id, piece_no,
     document_id, chunk_index (new, from 0, in the order of the old index and chunk_id;
-    unknown old indexes first), document_length (characters of the piece), piece_start,
+    unknown old indexes first, in parts by a hash), document_length (characters of the piece), piece_start,
     piece_end, piece_text.  Repeated rows count once; a chunk whose payload is null, no
     object or without a text has no piece.  Null documents are numbered as one document.
     """
@@ -120,10 +121,12 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     long = F.char_length("text") > limit
     one = F.array(F.struct(F.lit(0).alias("start"), F.char_length("text").alias("end")))
-    pieces = rows.withColumn("cut", cuts(F.when(long, F.col("text")))).withColumn("cut", F.when(long, F.col("cut")).otherwise(one))
+    # kept, so that a text is cut once however often its pieces are looked at
+    pieces = cut(rows.withColumn("cut", cuts(F.when(long, F.col("text")))).withColumn("cut", F.when(long, F.col("cut")).otherwise(one)))
     # Two levels of numbering, so that a document that holds a third of all chunks is no single task.
     narrow = pieces.select("row_key", "chunk_id", "document_id", F.coalesce("chunk_index", F.lit(-1)).alias("i"), F.size("cut").alias("n"))
     narrow = narrow.withColumn("block", F.floor(F.col("i") / 512))
+    narrow = narrow.withColumn("block", F.when(F.col("i") < 0, F.pmod(F.xxhash64("row_key"), F.lit(64)) - 64).otherwise(F.col("block")))  # unknown indexes, however many, in parts
     blocks = narrow.groupBy("document_id", "block").agg(F.sum("n").alias("total"))
     before = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("document_id").alias("d"), F.col("block").alias("k"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -143,3 +146,11 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 def found(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(chunk_id): the chunks that the operator cuts into more than one piece."""
     return oversized(chunks, limit).where(F.size("pieces") > 1).select("chunk_id").where("chunk_id is not null").distinct()
+
+
+def coverage(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(chunk_id, characters, within, gapless): whether a chunk's pieces keep the limit, and cover it with overlaps of about the right size."""
+    w = Window.partitionBy("chunk_id").orderBy("piece_no")
+    shared = F.lag("piece_end").over(w) - F.col("piece_start")
+    each = pieces.withColumn("fits", F.when(F.col("piece_no") == 0, F.col("piece_start") == 0).otherwise((shared > overlap // 3) & (shared < 2 * overlap)))
+    return each.groupBy("chunk_id").agg(F.max("piece_end").alias("characters"), (F.max("document_length") <= limit).alias("within"), F.min("fits").alias("gapless"))

@@ -76,10 +76,19 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.rechunk(table(spark, sf_dir, "chunks"))
 
 
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coverage(pieces.rechunk(table(spark, sf_dir, "chunks")))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with whether their parts follow one another and lie in containers that hold no more than they can."""
+    return packing.containment(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
 
@@ -96,7 +105,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(_judged(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_paragraphs, p4_found, p4_splits, p4_incremental, p5_found, p5_overlaps, p5_counts, p5_exact_counts, p6_found, p6_pieces, p7_containers, p8_found, p9_found, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_paragraphs, p4_found, p4_splits, p4_incremental, p5_found, p5_overlaps, p5_counts, p5_exact_counts, p6_found, p6_pieces, p6_coverage, p7_containers, p7_containment, p8_found, p9_found, p9_shares)}
 
 
 def queries() -> dict[str, Query]:
@@ -127,5 +136,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _p4_sql(),
         "p5_exact_counts": _exact_sql(),
+        "p6_coverage": "SELECT DISTINCT chunk_id, CAST(length(json_extract_string(payload_json, '$.text')) AS INT) AS characters, true AS within, true AS gapless FROM chunks WHERE json_extract_string(payload_json, '$.text') IS NOT NULL",
+        "p7_containment": "SELECT DISTINCT doc_id, true AS whole, true AS fits FROM documents",
         "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(json_extract_string(payload_json, '$.text')) > 1200 AND chunk_id IS NOT NULL",
     }
