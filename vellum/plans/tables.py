@@ -89,6 +89,8 @@ SHOWN = [
     ("x-note", "营业收入和营业成本 项目 本期发生额 上期发生额 收入 成本 收入 成本 主营业务 9,000.10 5,000.20 8,000.30 4,000.40 其他业务 10 5 8 4 合计 9,010.10 5,005.20 8,008.30 4,004.40"),
     ("x-segment", "主营业务分行业情况 分行业 营业收入 营业成本 毛利率（%） 营业收入比上年增减（%） 食品 500.00 300.00 40.00 5.1 4.2 纺织品 200 150 25 -3.0 -2.0 1.5 营业收入 1 2 3 4 5 主营业务分地区情况 分地区 毛利率比上年增减（%） 华东 77.5 66.5 14.19 1 2 增加 3 个百分点"),
     ("x-annual", "主要会计数据 2023年 2022年 本期比上年同期增减(%) 2021年 营业收入 1,000.5 900.25 11.1 800 归属于上市公司股东的净利润 -10.5 20 30.25 2023年末 2022年末 本期末比上年同期末增减（%） 2021年末 总资产 5,000 4,500 11 4,000 归属于上市公司股东的净资产 2,000 1,900 5.3 1,800"),
+    ("x-parent", "母公司 营业收入和营业成本 本期发生额 上期发生额 收入 成本 收入 成本 主营业务 700 500 650 450 其他业务 2 1 2 1 合计 702 501 652 451"),
+    ("x-both", "主要会计数据 2023年 2022年 2021年 营业收入 5,416.50 5,000 4,500 归属于上市公司股东的净利润 400.25 380 350 归属于上市公司股东的扣除非经常性损益的净利润 390.15 370 340 非经常性损益合计 10.10 第一季度 第二季度 第三季度 第四季度 营业收入 1,200.50 1,310.00 1,405.75 1,500.25 归属于上市公司股东的净利润 100.5 90 100 110"),
     ("x-shares", "前五名客户销售额 12,345.67 万元，占年度销售总额 23.45%；前五名供应商采购额 2,345 万元，占年度采购总额 8.9%。"),
 ]
 
