@@ -12,7 +12,7 @@ def one(spark, value, expression):
 
 
 def test_metrics_and_amounts(spark):
-    assert one(spark, "归属于上市公司股东的净利润与净利润、营业收入", A.metric_mentions) == ["归属于上市公司股东的净利润", "净利润", "营业收入"]
+    assert one(spark, "归属于上市公司股东的净利润与净利润、营业收入", A.metric_mentions) == ["归母净利润", "净利润", "营业收入"]
     assert one(spark, "收入1,234.5万元，成本-2亿元", A.amounts) == [Decimal(12345000), Decimal(-200000000)]
     assert one(spark, "", A.amounts) == [] and one(spark, None, A.amounts) is None
     assert one(spark, "成本是多少", A.needs_clarification) == "cost" and one(spark, "营业成本是多少", A.needs_clarification) is None

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def test_scalar_rules(spark):
     assert column(spark, ["收入19元", "无数", None, "a9"], scoring.mutate_number) == ["收入10元", "无数", None, "a0"]
     assert column(spark, ["短，很长的一句，中句", "一句", None], scoring.drop_longest_clause) == ["短，中句", "一句", None]
     assert column(spark, ["2023年初", "2023 本年末", "上年末", None], scoring.period_label) == ["2023期初", "2023 期末".replace(" ", ""), "期初", None]
-    assert column(spark, [1234.565, -2.0, None], scoring.money, "decimal(12,4)") == ["1,234.56", "-2.00", None]
+    assert column(spark, [Decimal("1234.565"), Decimal("-2"), None], scoring.money, "decimal(12,4)") == ["1,234.56", "-2.00", None]
     two = spark.createDataFrame([("共1 2,34元", "1234"), ("5.0", "5.0"), ("无", "7"), ("5", "")], "t string, v string")
     assert [r[0] for r in two.select(scoring.value_span(F.col("t"), F.col("v"))).collect()] == [2, 1, 0, 0]
     assert column(spark, ["营业收入和研发投入占营业收入比例及总资产、个人客户"], answers.metric_mentions) == [["营业收入", "研发投入强度", "资产总额", "个人客户数"]]

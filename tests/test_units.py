@@ -52,6 +52,32 @@ def test_agent_units_with_two_parts(spark):
     assert got["c1#f1"]["base_value"] == 11_219_600_000_000 and got["c1#f2"]["status"] == "none" and got["c1#f3"]["status"] == "other"
 
 
+def test_uncertain_multipliers_and_unknown_spellings_are_reviewed(spark):
+    """A bare multiplier is converted from the confidence on; what no lexicon knows never is."""
+    rows = spark.createDataFrame([("t", "1", *row("0.67亿")), ("t", "2", *row("5", "亿里亚尔")), ("t", "3", *row("5", "蒲式耳"))], SCHEMA)
+    one = fit_forest(np.zeros((40, 1)), np.array(["CNY"] * 40))
+    model = units.UnitModel(one, one)
+    for least, status in ((0.5, "scale"), (1.5, "review")):
+        got = {r["record_key"]: (r["status"], r["base_value"]) for r in units.convert_units(rows, model=model, confident=least).collect()}
+        assert got["1"] == (status, 6_700_000_000 if status == "scale" else None) and got["2"] == ("review", None) and got["3"] == ("review", None)
+
+
+def test_kinds_of_multipliers_are_told(spark):
+    """Held-out accuracy and coverage: of stated units with a multiplier only the multiplier is left."""
+    cells = spark.read.parquet("/root/testdata/sf0.01/cell_proofs.parquet")
+    cases = spark.read.parquet("/root/testdata/sf0.01/agent_cases.parquet").limit(0)
+    rows = units.figures(cells, cases).where("unit <> ''").distinct()
+    half = lambda k: rows.where(F.pmod(F.xxhash64("record_key"), F.lit(2)) == k)
+    model = units.fit_unit_model(half(0))
+    truth = units.stated_units(half(1)).where("scale > 0 and unit_from = 'unit' and kind not in ('percent', '', '?', '!')").select("record_key", "kind", "scale")
+    word = F.create_map(*[F.lit(x) for w, n in units.ZH_SCALES.items() if w for x in (len(str(n)) - 1, w)])
+    bare = half(1).join(truth, "record_key").withColumn("unit", F.element_at(word, F.col("scale"))).withColumn("column_label", F.lit(None).cast("string")).drop("kind", "scale")
+    got = units.convert_units(bare, model=model).join(truth, "record_key")
+    n, told = got.count(), got.where("status = 'scale'").count()
+    right = got.where("status = 'scale' and base_unit = kind").count()
+    assert n > 300 and told > 0.5 * n and right >= 0.93 * told
+
+
 def test_forest_learns_and_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 6))

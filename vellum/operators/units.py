@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 from decimal import Decimal
 from functools import lru_cache
 
@@ -46,7 +47,7 @@ RATES = {
     "小数": "100", "比例小数": "100", "fraction": "100", "decimal": "100", "decimalfraction": "100",
 }
 FOREIGN = ["美元", "港元", "港币", "欧元", "英镑", "日元", "usd", "hkd", "eur", "gbp", "jpy", "us$", "hk$", "$", "€", "£"]
-OTHER_COUNTS = ["次", "天", "日", "年", "月", "小时", "倍", "台", "套", "件", "家", "项", "个", "户", "辆", "times", "days", "hours", "units", "sets", "x", "元每股", "元股", "yuanshare", "yuanpershare", "rmbshare", "rmbpershare"]
+OTHER_COUNTS = ["次", "天", "日", "年", "月", "小时", "倍", "台", "套", "件", "家", "项", "个", "户", "辆", "times", "days", "hours", "units", "sets", "x", "元每股", "元股", "元/股", "元/每股", "yuan/share", "rmb/share", "cny/share", "yuanshare", "yuanpershare", "rmbshare", "rmbpershare"]
 BASE_UNITS = ["CNY", "t", "kWh", "m2", "share", "person", "percent"]
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -76,43 +77,44 @@ def unit_key(c: Column) -> Column:
 
 @lru_cache(1)
 def lexicon() -> pd.DataFrame:
-    """key, kind, factor100 (base units times 100), scale: every spelling that multipliers and unit names make.
+    """key, kind, factor100 (base units times 100), scale (power of ten of the multiplier): every spelling that multipliers and unit names make.
 
     kind is null for other currencies, per-share amounts and counts of other things, and
     '?' for a bare multiplier, whose kind the ensemble has to tell.
     """
-    rows: dict[str, tuple[str | None, Decimal | None]] = {}
+    rows: dict[str, tuple[str | None, Decimal | None, int | None]] = {}
 
-    def put(key: str, kind: str | None, factor: Decimal | None) -> None:
+    def put(key: str, kind: str | None, factor: Decimal | None, n: int | None = None) -> None:
         key = re.sub(r"[\s(),.]", "", key.lower())
         if key and (factor is None or factor <= 10**15):
-            rows.setdefault(key, (kind, factor))
+            rows.setdefault(key, (kind, factor, None if n is None else len(str(n)) - 1))
 
     for unit, f in RATES.items():
         put(unit, "percent", Decimal(f))
     for word, n in ZH_SCALES.items():
         for form in (f"{word}元", f"{word}元人民币", f"人民币{word}元", f"{word}人民币", f"{word}元rmb", f"{word}圆"):
-            put(form, "CNY", Decimal(n))
+            put(form, "CNY", Decimal(n), n)
         for kind, units in ZH_UNITS.items():
             for unit, f in units.items():
-                put(word + unit, kind, Decimal(f) * n)
+                put(word + unit, kind, Decimal(f) * n, n)
         for name in FOREIGN + OTHER_COUNTS:
             put(word + name, None, None)
     for word, n in EN_SCALES.items():
         for name in CURRENCY_NAMES:
-            put(name + word, "CNY", Decimal(n))
-            put(word + name, "CNY", Decimal(n))
+            put(name + word, "CNY", Decimal(n), n)
+            put(word + name, "CNY", Decimal(n), n)
         for kind, units in EN_UNITS.items():
             for unit, f in units.items():
-                put(word + unit, kind, Decimal(f) * n)
+                put(word + unit, kind, Decimal(f) * n, n)
         for name in FOREIGN + OTHER_COUNTS:
             put(name + word, None, None)
             put(word + name, None, None)
     for scales in (ZH_SCALES, EN_SCALES):
         for word, n in scales.items():
             if word and not word[0].isdigit() and word != "'000":
-                put(word, "?", Decimal(n))
-    return pd.DataFrame([(k, kind, None if f is None else str(f * 100)) for k, (kind, f) in rows.items()], columns=["key", "kind", "factor100"])
+                put(word, "?", Decimal(n), n)
+    table = [(k, kind, None if f is None else str(f * 100), None if n is None else str(n)) for k, (kind, f, n) in rows.items()]
+    return pd.DataFrame(table, columns=["key", "kind", "factor100", "scale"])
 
 
 def _number(text: Column) -> tuple[Column, Column]:
@@ -163,30 +165,30 @@ def _own(rows: DataFrame) -> DataFrame:
 
 
 def stated_units(rows: DataFrame) -> DataFrame:
-    """Adds number, kind, factor100, unit_from: the unit that the row itself states.
+    """Adds number, kind, factor100, scale, unit_from: the unit that the row itself states.
 
     unit_from is value, unit, column, row or section, or null where no field states one.
     kind is one of BASE_UNITS, '' for what has no base unit, '?' for a bare multiplier and
     '!' for an unknown spelling.
     """
     spark = rows.sparkSession
-    lex = F.broadcast(spark.createDataFrame(lexicon(), "key string, kind string, factor100 string").withColumn("factor100", F.col("factor100").cast("decimal(26,4)")))  # generated, a few thousand rows whatever the data
+    lex = F.broadcast(spark.createDataFrame(lexicon(), "key string, kind string, factor100 string, scale string").withColumn("scale", F.col("scale").cast("int")).withColumn("factor100", F.col("factor100").cast("decimal(26,4)")))  # generated, a few thousand rows whatever the data
     number, rest = _number(F.col("figure"))
     parsed = rows.withColumn("__n", number).withColumn("__rest", rest)
     keys = {"value": F.col("__rest"), "unit": F.col("unit"), "column": _label_unit(F.col("column_label")), "row": _label_unit(F.col("row_label")), "section": _section_unit(F.col("section"))}
     out = parsed.withColumns({f"__k_{n}": F.when(F.col("__n").isNotNull(), unit_key(k)) for n, k in keys.items()})
     for n in keys:
-        out = out.join(lex.select(F.col("key").alias(f"__k_{n}"), F.struct(F.coalesce("kind", F.lit("")).alias("kind"), "factor100").alias(f"__u_{n}")), f"__k_{n}", "left")
+        out = out.join(lex.select(F.col("key").alias(f"__k_{n}"), F.struct(F.coalesce("kind", F.lit("")).alias("kind"), "factor100", "scale").alias(f"__u_{n}")), f"__k_{n}", "left")
     # a non-empty text or unit field that the lexicon doesn't know is a spelling to be looked at
     said = {
-        n: F.when(F.col(f"__u_{n}").isNotNull(), F.struct(F.lit(n).alias("unit_from"), F.col(f"__u_{n}.kind").alias("kind"), F.col(f"__u_{n}.factor100").alias("factor100")))
+        n: F.when(F.col(f"__u_{n}").isNotNull(), F.struct(F.lit(n).alias("unit_from"), F.col(f"__u_{n}.kind").alias("kind"), F.col(f"__u_{n}.factor100").alias("factor100"), F.col(f"__u_{n}.scale").alias("scale")))
         for n in keys
     }
     for n in ("value", "unit"):
         unknown = F.col(f"__k_{n}") != ""
-        said[n] = said[n].when(unknown, F.struct(F.lit(n).alias("unit_from"), F.lit("!").alias("kind"), F.lit(None).cast("decimal(26,4)").alias("factor100")))
+        said[n] = said[n].when(unknown, F.struct(F.lit(n).alias("unit_from"), F.lit("!").alias("kind"), F.lit(None).cast("decimal(26,4)").alias("factor100"), F.lit(None).cast("int").alias("scale")))
     out = out.withColumn("__s", F.coalesce(*said.values()))
-    return out.select(*rows.columns, F.col("__n").alias("number"), F.col("__s.unit_from").alias("unit_from"), F.col("__s.kind").alias("kind"), F.col("__s.factor100").alias("factor100"))
+    return out.select(*rows.columns, F.col("__n").alias("number"), F.col("__s.unit_from").alias("unit_from"), F.col("__s.kind").alias("kind"), F.col("__s.factor100").alias("factor100"), F.col("__s.scale").alias("scale"))
 
 
 _BUCKETS = {"row_label": 96, "column_label": 16, "category": 8, "source": 12}
@@ -212,20 +214,27 @@ def _features(f: pd.DataFrame) -> np.ndarray:
     return np.column_stack(columns) if len(f) else np.zeros((0, 5 + sum(_BUCKETS.values())))
 
 
-def fit_unit_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """The ensemble, fitted on the stated units of a bounded sample (the rows of smallest hash)."""
-    sample = _own(rows).orderBy(F.xxhash64("record_table", "record_key"), "record_key").limit(sample_rows)
-    known = stated_units(sample).where(F.col("kind").isin(*BASE_UNITS)).select("figure", "number", *_BUCKETS, F.concat_ws("|", "kind", F.col("factor100").cast("string")).alias("y")).toPandas()
-    return fit_forest(_features(known), known["y"].to_numpy(str), group=_counted_kind)
+@dataclass
+class UnitModel:
+    """unit: kind and factor of a figure that states neither.  kind: what a bare multiplier counts; it sees the multiplier too."""
+
+    unit: Forest
+    kind: Forest
+
 
+def _with_scale(f: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([_features(f), pd.to_numeric(f["scale"], errors="coerce").fillna(-1.0).to_numpy(float)])
 
-def _counted_kind(label: str) -> str | None:
-    """The kind of a class that a bare multiplier can count: never a rate."""
-    kind = label.split("|")[0]
-    return None if kind == "percent" else kind
+
+def fit_unit_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UnitModel:
+    """The ensembles, fitted on the stated units of a bounded sample (the rows of smallest hash), the second on those with a multiplier."""
+    sample = _own(rows).orderBy(F.xxhash64("record_table", "record_key"), "record_key").limit(sample_rows)
+    known = stated_units(sample).where(F.col("kind").isin(*BASE_UNITS)).select("figure", "number", *_BUCKETS, "kind", "scale", F.concat_ws("|", "kind", F.col("factor100").cast("string")).alias("y")).toPandas()
+    counted = known[(known["kind"] != "percent") & (pd.to_numeric(known["scale"], errors="coerce").fillna(0) > 0)]
+    return UnitModel(fit_forest(_features(known), known["y"].to_numpy(str)), fit_forest(_with_scale(counted), counted["kind"].to_numpy(str)))
 
 
-def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident: float = CONFIDENT, model: Forest | None = None) -> DataFrame:
+def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident: float = CONFIDENT, model: UnitModel | None = None) -> DataFrame:
     """Every figure with its unit and its value in the base unit of its kind.
 
     rows: the columns FIGURE_COLUMNS.  Result: record_table, record_key, figure, number,
@@ -239,7 +248,8 @@ def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident:
     for review, other and none, and where it exceeds a bigint.  Rows are kept as often as
     they come; an empty table gives an empty table.
     """
-    forest = fit_unit_model(rows, sample_rows) if model is None else model
+    model = fit_unit_model(rows, sample_rows) if model is None else model
+    forest, kind_forest = model.unit, model.kind
     stated = stated_units(_own(rows))
     open_ = F.col("number").isNotNull() & (F.col("kind").isNull() | (F.col("kind") == "?"))
     kinds = np.array([str(c).split("|")[0] for c in forest.classes])
@@ -255,15 +265,16 @@ def convert_units(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, confident:
             out.loc[need, "kind"] = kinds[best]
             out.loc[need, "factor100"] = np.array(factors, dtype=object)[best]
             out.loc[need, "confidence"] = forest.confidence(p.max(axis=1))
-            if forest.groups:
-                share = forest.group_shares(p)
-                out.loc[need, "counted"] = np.array(forest.groups, dtype=object)[share.argmax(axis=1)]
-                out.loc[need, "counted_confidence"] = forest.group_confidence(share.max(axis=1))
+            bare = need & f["bare"].fillna(False).to_numpy(bool)
+            if bare.any():
+                p = kind_forest.probabilities(_with_scale(f[bare]))
+                out.loc[bare, "counted"] = kind_forest.classes[p.argmax(axis=1)]
+                out.loc[bare, "counted_confidence"] = kind_forest.confidence(p.max(axis=1))
         out["counted_confidence"] = out["counted_confidence"].astype(float)
         out["confidence"] = out["confidence"].astype(float)
         return out
 
-    fields = F.struct(open_.alias("open"), *[F.when(open_, F.col(c)).alias(c) for c in ("figure", *_BUCKETS)], F.when(open_, F.col("number").cast("double")).alias("number"))
+    fields = F.struct(open_.alias("open"), F.coalesce(open_ & (F.col("kind") == "?"), F.lit(False)).alias("bare"), F.when(open_, F.col("scale")).alias("scale"), *[F.when(open_, F.col(c)).alias(c) for c in ("figure", *_BUCKETS)], F.when(open_, F.col("number").cast("double")).alias("number"))
     scored = stated.withColumn("p", predict(fields))
     bare = F.col("kind") == "?"
     trust = F.when(bare, F.col("p.counted_confidence")).otherwise(F.col("p.confidence"))
