@@ -14,6 +14,10 @@ from vellum.operators.tables import intersection_share
 AUTHORITY = {"财务摘要": 50, "关键指标": 45, "业绩综述": 35, "主要经营业绩": 30, "内含价值分析": 20, "董事长致辞": 5}
 
 
+#: Height of the stripes of a page that boxes meet by.
+STRIPE = 40.0
+
+
 def merge_regions(native: DataFrame, recognised: DataFrame, page: list[str], overlap: float = 0.6) -> DataFrame:
     """Native regions and those recognised ones that add something, numbered by place (reading_order).
 
@@ -23,8 +27,10 @@ def merge_regions(native: DataFrame, recognised: DataFrame, page: list[str], ove
     """
     own = native.select(*page, plain_label(F.col("text")).alias("compact")).where("compact <> ''").distinct()
     fresh = recognised.withColumn("compact", F.when(plain_label(F.col("text")) != "", plain_label(F.col("text")))).join(own, [*page, "compact"], "left_anti")
-    boxes = native.select(*page, F.col("box").alias("__n"))
-    covered = fresh.join(boxes, page).where(intersection_share(F.col("box"), F.col("__n")) >= overlap).select(*page, "box_id").distinct()
+    # boxes meet by horizontal stripes of the page, so a page isn't joined with itself
+    stripes = lambda box: F.explode(F.sequence(F.floor(box["y0"] / STRIPE), F.greatest(F.floor(box["y0"] / STRIPE), F.floor(box["y1"] / STRIPE))))
+    boxes = native.where("box is not null").select(*page, F.col("box").alias("__n"), stripes(F.col("box")).alias("__s"))
+    covered = fresh.where("box is not null").withColumn("__s", stripes(F.col("box"))).join(boxes, [*page, "__s"]).where(intersection_share(F.col("box"), F.col("__n")) >= overlap).select(*page, "box_id").distinct()
     kept = fresh.join(covered, [*page, "box_id"], "left_anti")
     both = native.select(*page, "box_id", "text", "box", F.lit("native").alias("origin")).unionByName(kept.select(*page, "box_id", "text", "box", F.lit("recognised").alias("origin")))
     return both.withColumn("reading_order", F.row_number().over(Window.partitionBy(*page).orderBy("box.y0", "box.x0", "origin", "box_id")) - 1)

@@ -7,7 +7,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,17 +40,30 @@ def publish(tables: dict[str, DataFrame], root: str, generation: str) -> str:
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{generation}/{name}")
-    pointer = spark.createDataFrame([(generation, json.dumps(sorted(tables)))], "generation string, tables string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    # pointers are only added, so a reader finds the earlier one until the new one is there
+    last = _pointers(spark, root)
+    pointer = spark.createDataFrame([((last[-1]["number"] if last else 0) + 1, generation, json.dumps(sorted(tables)))], POINTER)
+    pointer.coalesce(1).write.mode("append").json(f"{root}/current")
     return f"{root}/{generation}"
 
 
+POINTER = "number long, generation string, tables string"
+
+
+def _pointers(spark: SparkSession, root: str) -> list[Row]:
+    """The pointers of a root from the first to the last (one a generation); none if there is no root."""
+    try:
+        return spark.read.schema(POINTER).json(f"{root}/current").orderBy("number", "generation").collect()
+    except AnalysisException:
+        return []
+
+
 def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the generation that root points to."""
-    row = spark.read.schema("generation string, tables string").json(f"{root}/current").first()
-    if row is None or not re.fullmatch(r"[A-Za-z0-9._-]+", row["generation"] or ""):
+    rows = _pointers(spark, root)
+    if not rows or not re.fullmatch(r"[A-Za-z0-9._-]+", rows[-1]["generation"] or ""):
         raise LookupError(f"{root} points to no generation")
-    return {t: spark.read.parquet(f"{root}/{row['generation']}/{t}") for t in json.loads(row["tables"])}
+    return {t: spark.read.parquet(f"{root}/{rows[-1]['generation']}/{t}") for t in json.loads(rows[-1]["tables"])}
 
 
 def incremental(new: DataFrame, old: DataFrame, key: str, kept: list[str]) -> DataFrame:
