@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import numpy as np
@@ -78,6 +79,36 @@ def test_bm25_against_brute_force(spark):
     assert retrieval.bm25(queries.limit(0), docs, F.col("text")).count() == 0 and retrieval.bm25(queries, docs.limit(0), F.col("text")).count() == 0
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    docs = spark.range(3000).select(F.format_string("c%04d", "id").alias("chunk_id"), F.concat_ws(" ", F.lit("cash flow profit"), "id").alias("text"))
+    queries = spark.range(60).select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("cash flow profit"), F.col("id") + 7).alias("query"))
+    before = shuffled_rows(spark)
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.bm25(queries, docs, F.col("text"), k=3).collect()}
+    want = {q: [f"c{q + 7:04}", *[f"c{i:04}" for i in range(4) if i != q + 7]][:3] for q in range(60)}
+    assert got == {(q, i + 1): c for q, cs in want.items() for i, c in enumerate(cs)}
+    assert shuffled_rows(spark) - before < 60 * 3000 / 4
+
+
+def test_bm25_versions_of_a_chunk(spark):
+    rows = [("a", "x", "cash flow"), ("a", "x", "cash flow"), ("a", "x", "cash profit"), ("a", "y", "cash loss loss"), ("b", "x", "loss"), (None, "x", "loss")]
+    docs = spark.createDataFrame(rows, "chunk_id string, company string, text string")
+    queries = spark.createDataFrame([("q", "cash loss")], "query_id string, query string")
+    lists = {0: ["cash", "flow"], 1: ["cash", "profit"], 2: ["cash", "loss", "loss"], 3: ["loss"], 4: ["loss"]}
+    avg, idf = sum(map(len, lists.values())) / 5, lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
+    part = lambda df, tf, length: idf(df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg))
+    # the two versions of "a" of two tokens are one document: "cash" twice; the third adds to its score
+    want = {"a": part(2, 2, 2) + part(2, 1, 3) + part(3, 2, 3), "b": part(3, 1, 1), None: part(3, 1, 1)}
+    got = [(r["chunk_id"], r["score"]) for r in retrieval.bm25(queries, docs, F.col("text")).orderBy("rank").collect()]
+    assert [c for c, _ in got] == ["a", "b", None] and all(abs(s - want[c]) < 1e-6 for c, s in got)
+
+
 def test_filters_do_not_move_statistics(spark):
     docs = _chunks(spark, CHUNKS[:3])
     queries = spark.createDataFrame([("q", "营业收入")], "query_id string, query string")

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellum.functions.text import search_tokens
-from vellum.runtime import bounded_broadcast, cut
+from vellum.runtime import cut
 
 K1, B = 1.5, 0.75
 PAYLOAD = "text string, page_start int, page_end int, section_path array<string>"
@@ -56,29 +61,138 @@ def top(ranked: DataFrame, group: str, order: list[Column], k: int | Column, ran
     return ranked.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+#: Chunks and postings that a task scores at once, and queries that are sent at once.
+BLOCK_CHUNKS, BLOCK_POSTINGS, BLOCK_QUERIES = 32_768, 4_000_000, 16_384
+COUNTED = "kept boolean, h bigint, length int, ids array<int>, tfs array<int>"
+
+
+def _known_terms(batches: Iterator[pa.RecordBatch], terms: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Token lists as (ids, tfs) of the terms, ids ascending; other tokens only count in the length."""
+    for batch in batches:
+        tokens = batch["tokens"]
+        length = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        flat = tokens.flatten()
+        ids = pc.fill_null(pc.index_in(flat, value_set=pa.array(terms.value, flat.type)), -1).to_numpy()
+        row = np.repeat(np.arange(len(length)), length)[ids >= 0]
+        pairs, tf = np.unique(row * np.int64(len(terms.value) + 1) + ids[ids >= 0], return_counts=True)
+        row, ids = np.divmod(pairs, len(terms.value) + 1)
+        ends = pa.array(np.searchsorted(row, np.arange(len(length) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids, tf)]
+        yield pa.RecordBatch.from_arrays([batch["chunk_id"], batch["kept"], batch["h"], pa.array(length.astype(np.int32)), *lists], names=["chunk_id", "kept", "h", "length", "ids", "tfs"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, joined up to the bounds of a block."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + len(batch), size + len(batch["versions"].flatten().field("ids").flatten())
+        if rows >= BLOCK_CHUNKS or size >= BLOCK_POSTINGS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _unpack(versions: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(length of each version; chunk, kept and length of each document; term, document and tf of each posting, by term).
+
+    Versions of a chunk that agree in kept and length are one document, of which the counts are summed.
+    """
+    v = versions.flatten()
+    chunk = np.repeat(np.arange(len(versions)), versions.value_lengths().to_numpy(zero_copy_only=False))
+    kept, length = (v.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kept", "length"))
+    wide = int(length.max(initial=0)) + 1
+    keys, document = np.unique((chunk * 2 + kept) * wide + length, return_inverse=True)
+    ids, tfs = v.field("ids"), v.field("tfs").flatten().to_numpy()
+    posting = ids.flatten().to_numpy().astype(np.int64) * max(1, len(keys)) + np.repeat(document, ids.value_lengths().to_numpy(zero_copy_only=False))
+    pairs, at = np.unique(posting, return_inverse=True)
+    term, document = np.divmod(pairs, max(1, len(keys)))
+    return length, keys // wide // 2, keys // wide % 2 == 1, keys % wide, term, document, np.bincount(at, tfs, len(pairs))
+
+
+def _index_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n): documents with each term; at -1 all versions of chunks, at -2 their tokens."""
+    for block in _blocks(batches):
+        length, _, _, _, term, _, _ = _unpack(block["versions"].chunk(0))
+        ids, n = np.unique(term, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, [-1, -2]).astype(np.int32)), pa.array(np.append(n, [len(length), length.sum()]).astype(np.int64))], names=["id", "n"])
+
+
+def _best_chunks(batches: Iterator[pa.RecordBatch], sent: Broadcast, stats: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, chunk_id, raw, near): the k best chunks of each query among those of a task; near is raw to 9 places."""
+    (names, kind, queries), (idf, average) = sent.value, stats.value
+    held, floor, key = [[] for _ in queries], [0.0] * len(queries), None
+    for block in _blocks(batches):
+        ids = block["chunk_id"].chunk(0)
+        key = ids.type
+        order = pc.sort_indices(ids)  # nulls last; within a block ties go by place
+        ids, place = ids.take(order), np.argsort(order.to_numpy())
+        _, chunk, kept, length, term, document, tf = _unpack(block["versions"].chunk(0))
+        kept = kept[document]
+        term, document, tf = term[kept], document[kept], tf[kept]
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[document] / average))
+        at = place[chunk[document]]
+        starts = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
+        for q, terms in enumerate(queries):
+            parts = [(slice(starts[t], starts[t + 1]), qtf) for t, qtf in terms if starts[t] < starts[t + 1]]
+            if not parts:
+                continue
+            raw = np.bincount(np.concatenate([at[p] for p, _ in parts]), np.concatenate([weight[p] if qtf == 1 else qtf * weight[p] for p, qtf in parts]), len(ids))
+            found = np.flatnonzero(raw > floor[q])
+            near = np.round(raw[found], 9)
+            if len(found) > k:
+                good = near >= np.partition(near, -k)[-k]
+                found, near = found[good], near[good]
+                first = np.argsort(-near, kind="stable")[:k]
+                found, near = found[first], near[first]
+            if len(found):
+                fresh = ((-s, name is None, name, r) for s, name, r in zip(near.tolist(), ids.take(pa.array(found)).to_pylist(), raw[found].tolist()))
+                held[q] = sorted([*held[q], *fresh])[:k]
+                if len(held[q]) == k:
+                    floor[q] = max(0.0, -held[q][-1][0] - 1e-9)
+    rows = [(names[q], name, raw, -s) for q, found in enumerate(held) for s, _, name, raw in found]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (kind, key, pa.float64(), pa.float64()))], names=["query_id", "chunk_id", "raw", "near"])
+
+
 def bm25(queries: DataFrame, documents: DataFrame, text: Column, *, query_key: str = "query_id", query: str = "query", key: str = "chunk_id", k: int = 10, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best documents of each query.
 
     Statistics are those of the whole index, whatever `keep` filters; a term that a query
-    repeats counts as often.  The documents are cut into tokens once; tokens that no query has
-    are dropped before they are shuffled, so the shuffle follows the queries, not the corpus,
-    and carries no text.  A document that comes several times (exact repeats) counts once.
-    Ties go by chunk_id.
+    repeats counts as often.  The documents are cut into tokens once; what is shuffled and kept
+    of them are counts of the terms that queries have, no text.  Queries are sent in blocks; a
+    task scores its chunks against a block and keeps its own k best, so no pair of query and
+    chunk is shuffled but k rows a task and query.  The driver sees the terms that queries have.
+    An exact repeat of a row counts once.  Exact; ties go by chunk_id, null last.
     """
-    wanted = cut(queries.select(F.col(query_key).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
-    # the empty term stands for the document itself: its length, and how often it comes
-    terms = bounded_broadcast(wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string")))
-    rows = documents.select(F.col(key).alias("chunk_id"), (keep if keep is not None else F.lit(True)).alias("kept"), search_tokens(text).alias("tokens"))
-    found = rows.select("chunk_id", "kept", F.size("tokens").alias("length"), F.explode(F.array_append("tokens", F.lit(""))).alias("term")).join(terms, "term")
-    tf = cut(found.groupBy("chunk_id", "kept", "length", "term").agg(F.count("*").alias("tf")))
-    own = tf.where("term = ''").select("chunk_id", "length", F.col("tf").alias("copies"))
-    summary = own.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
-    once = tf.where("term <> ''").join(own, ["chunk_id", "length"]).withColumn("tf", F.col("tf") / F.col("copies"))
-    df = once.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(summary["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(summary["avgdl"])))
-    scored = once.where("kept").join(wanted.join(df, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("raw"))
-    return top(scored, "query_id", [F.round("raw", 9).desc(), F.col("chunk_id")], k).select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
+    spark = documents.sparkSession
+    sc = spark.sparkContext
+    wanted = cut(queries.select(F.col(query_key).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("qtf")))
+    terms = sorted(r["term"] for r in wanted.select("term").distinct().toLocalIterator())
+    vocabulary = sc.broadcast(terms)
+    kind = documents.select(F.col(key)).schema[0].dataType.simpleString()
+    # a null leaves the hash as it is, so its place goes in, too
+    own = F.xxhash64(*[x for c in documents.columns for x in (F.col(c), F.col(c).isNull())])
+    rows = documents.select(F.col(key).alias("chunk_id"), F.coalesce(keep if keep is not None else F.lit(True), F.lit(False)).alias("kept"), own.alias("h"), search_tokens(text).alias("tokens")).where("tokens is not null")
+    counted = rows.mapInArrow(lambda batches: _known_terms(batches, vocabulary), f"chunk_id {kind}, {COUNTED}")
+    tasks = 2 * sc.defaultParallelism
+    spread = counted.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk_id")
+    index = cut(spread.groupBy("chunk_id").agg(F.collect_set(F.struct("kept", "h", "length", "ids", "tfs")).alias("versions"))).coalesce(tasks)
+    counts = {r["id"]: r["n"] for r in index.mapInArrow(_index_counts, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator()}
+    n, tokens = counts.get(-1, 0), counts.get(-2, 0)
+    df = np.array([counts.get(i, 0) for i in range(len(terms))], dtype=np.float64)
+    stats = sc.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), tokens / n if tokens else 1.0))
+
+    ids, asked = {t: i for i, t in enumerate(terms)}, wanted.schema["query_id"].dataType
+    result = None
+    each = wanted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("terms")).toLocalIterator()
+    while (part := [(r["query_id"], [(ids[t], qtf) for t, qtf in r["terms"]]) for r in islice(each, BLOCK_QUERIES)]) or result is None:
+        sent = sc.broadcast(([q for q, _ in part], to_arrow_type(asked), [t for _, t in part]))
+        found = index.mapInArrow(lambda batches, sent=sent: _best_chunks(batches, sent, stats, k), f"query_id {asked.simpleString()}, chunk_id {kind}, raw double, near double")
+        result = found if result is None else result.unionByName(found)
+    return top(result, "query_id", [F.col("near").desc(), F.col("chunk_id").asc_nulls_last()], k).select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
 
 
 def rank_fusion(ranked: DataFrame, *, group: str = "query_id", key: str = "chunk_id", weights: dict[str, float], rrf_k: int = 60, k: int = 10) -> DataFrame:
