@@ -1,8 +1,10 @@
 import datetime
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,42 @@ def test_bm25_shuffles_no_pairs(spark):
     assert shuffled_rows(spark) - before < 60 * 3000 / 4
 
 
+@pytest.mark.parametrize("bound", [1, 7, 1000])
+def test_bm25_blocks_agree(bound, monkeypatch):
+    """Blocks of any size keep the best chunks, and of equal ones the first by id."""
+    rng = random.Random(5)
+    version = lambda i: {"kept": i % 9 > 0, "h": i, "length": rng.randint(5, 7), "ids": (ids := sorted(rng.sample(range(4), rng.randint(0, 4)))), "tfs": [rng.randint(1, 2) for _ in ids]}
+    rows = [{"chunk_id": f"c{i:03}" if i else None, "versions": [version(i), *[version(500 + i)] * (i % 5 == 0)]} for i in range(120)]
+    rng.shuffle(rows)
+    kind = pa.schema({"chunk_id": pa.string(), "versions": pa.list_(pa.struct({"kept": pa.bool_(), "h": pa.int64(), "length": pa.int32(), "ids": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32())}))})
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 10], kind) for i in range(0, 120, 10)]
+    idf, queries = np.array([0.5, 1.0, 2.0, 3.0]), [[(0, 1), (2, 2)], [(1, 1)], [(3, 1), (0, 1), (1, 3)], []]
+    monkeypatch.setattr(retrieval, "BLOCK_CHUNKS", bound)
+    sent = SimpleNamespace(value=(["p", "q", None, "s"], pa.string(), queries)), SimpleNamespace(value=(idf, 6.0))
+    got = [(r["query_id"], r["chunk_id"], r["near"]) for b in retrieval._best_chunks(iter(batches), *sent, 10) for r in b.to_pylist()]
+    want = []
+    for name, terms in zip(["p", "q", None, "s"], queries):
+        scores = []
+        for r in rows:
+            groups = {}
+            for v in r["versions"]:
+                for t, tf in zip(v["ids"], v["tfs"]):
+                    groups[v["kept"], v["length"], t] = groups.get((v["kept"], v["length"], t), 0) + tf
+            raw = sum(qtf * idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 6)) for q, qtf in terms for (kept, n, t), tf in groups.items() if kept and t == q)
+            scores += [(-round(raw, 9), r["chunk_id"] is None, r["chunk_id"])] if raw else []
+        want += [(name, c, pytest.approx(-s, abs=2e-9)) for s, _, c in sorted(scores)[:10]]
+    assert got == want
+
+
+def test_bm25_blocks_of_queries(spark, monkeypatch):
+    docs = spark.range(50).select(F.format_string("c%02d", "id").alias("chunk_id"), F.concat_ws(" ", F.lit("cash"), F.col("id") % 7).alias("text"))
+    queries = spark.range(10).select("id", F.concat_ws(" ", F.lit("cash"), "id").alias("query"))
+    run = lambda: sorted(map(tuple, retrieval.bm25(queries, docs, F.col("text"), query_key="id", k=4).collect()))
+    whole = run()
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
+    assert len(whole) == 40 and run() == whole
+
+
 def test_bm25_versions_of_a_chunk(spark):
     rows = [("a", "x", "cash flow"), ("a", "x", "cash flow"), ("a", "x", "cash profit"), ("a", "y", "cash loss loss"), ("b", "x", "loss"), (None, "x", "loss")]
     docs = spark.createDataFrame(rows, "chunk_id string, company string, text string")

@@ -62,7 +62,7 @@ def top(ranked: DataFrame, group: str, order: list[Column], k: int | Column, ran
 
 
 #: Chunks and postings that a task scores at once, and queries that are sent at once.
-BLOCK_CHUNKS, BLOCK_POSTINGS, BLOCK_QUERIES = 32_768, 4_000_000, 16_384
+BLOCK_CHUNKS, BLOCK_POSTINGS, BLOCK_QUERIES = 32_768, 2_000_000, 16_384
 COUNTED = "kept boolean, h bigint, length int, ids array<int>, tfs array<int>"
 
 
