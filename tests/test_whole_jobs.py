@@ -66,3 +66,12 @@ def test_bootstrap_query_takes_the_default_samples(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "clustered_bootstrap", lambda *a, **k: asked.append(k))
     evaluation_plans.bootstrap_interval(spark, DATA)
     assert asked == [{}]
+
+
+def test_bm25_asks_every_question(spark):
+    sql = retrieval_plans.SQL["r_bm25_top10"]
+    some = sql.replace(retrieval_plans._Q, retrieval_plans._SOME_Q)
+    got = sorted(tuple(r) for r in retrieval_plans.bm25_top10(spark, DATA).collect())
+    whole = oracle(sql)
+    assert some != sql and len(got) > 40 * len(oracle(some))
+    assert [(q, c, rank) for q, c, _, rank in got] == [(q, c, rank) for q, c, _, rank in whole] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, whole))

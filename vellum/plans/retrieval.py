@@ -9,7 +9,7 @@ from vellum.functions import finance, text
 from vellum.operators import retrieval as R
 from vellum.runtime import table
 
-#: Searches take every row whose id is divisible by this as a query, against all rows.
+#: Searches other than bm25_top10 take every row whose id is divisible by this as a query, against all rows.
 EVERY = 50
 
 
@@ -22,8 +22,12 @@ def _index_text():
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    number = F.regexp_extract("case_id", "([0-9]+)$", 1).try_cast("bigint")
-    return table(spark, d, "agent_cases").where("query is not null").where(F.pmod(number, F.lit(EVERY)) == 0).select(F.col("case_id").alias("query_id"), "query").distinct()
+    return table(spark, d, "agent_cases").where("query is not null").select(F.col("case_id").alias("query_id"), "query").distinct()
+
+
+def _some_queries(spark: SparkSession, d: str) -> DataFrame:
+    number = F.regexp_extract("query_id", "([0-9]+)$", 1).try_cast("bigint")
+    return _queries(spark, d).where(F.pmod(number, F.lit(EVERY)) == 0)
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +48,7 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     keep = F.coalesce(F.col("report_year").isin(2022, 2023, 2024) & (F.col("document_type") == "annual_report"), F.lit(False))
-    return R.bm25(_queries(spark, d), R.parse_chunks(table(spark, d, "chunks")), _index_text(), keep=keep)
+    return R.bm25(_some_queries(spark, d), R.parse_chunks(table(spark, d, "chunks")), _index_text(), keep=keep)
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +160,12 @@ def _tokens(t: str) -> str:
 
 
 _IT = "trim(concat_ws(' ', array_to_string(coalesce(section_path, []), ' '), array_to_string(coalesce(section_path, []), ' '), text))"
-_Q = f"q AS (SELECT DISTINCT case_id AS query_id, query FROM agent_cases WHERE query IS NOT NULL AND TRY_CAST(regexp_extract(case_id, '([0-9]+)$', 1) AS BIGINT) % {EVERY} = 0)"
+_Q = "q AS (SELECT DISTINCT case_id AS query_id, query FROM agent_cases WHERE query IS NOT NULL)"
+_SOME_Q = f"q AS (SELECT DISTINCT case_id AS query_id, query FROM agent_cases WHERE query IS NOT NULL AND TRY_CAST(regexp_extract(case_id, '([0-9]+)$', 1) AS BIGINT) % {EVERY} = 0)"
 
 
-def _bm25(keep: str) -> str:
-    return f"""WITH {_C}, {_Q}, d AS (SELECT chunk_id, {keep} AS kept, {_tokens(_IT)} AS tokens FROM c), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+def _bm25(questions: str, keep: str) -> str:
+    return f"""WITH {_C}, {questions}, d AS (SELECT chunk_id, {keep} AS kept, {_tokens(_IT)} AS tokens FROM c), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
     tf AS (SELECT chunk_id, kept, length, term, count(*) AS tf FROM (SELECT chunk_id, kept, len(tokens) AS length, unnest(tokens) AS term FROM d) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens('query')}) AS term FROM q) GROUP BY ALL),
     r AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))) AS raw FROM w JOIN tf USING (term) JOIN df USING (term), s WHERE kept GROUP BY ALL)
@@ -204,8 +209,8 @@ for _a, _b in text.SYNONYMS.items():
 SQL = {
     "r_term_statistics": f"WITH {_C}, t AS (SELECT chunk_id, unnest({_tokens(_IT)}) AS term FROM c), f AS (SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM f GROUP BY term",
     "r_index_summary": f"WITH {_C} SELECT count(*) AS documents, round(avg(len({_tokens(_IT)})), 6) AS average_length FROM c",
-    "r_bm25_top10": _bm25("true"),
-    "r_bm25_filtered": _bm25("coalesce(report_year IN (2022, 2023, 2024) AND document_type = 'annual_report', false)"),
+    "r_bm25_top10": _bm25(_Q, "true"),
+    "r_bm25_filtered": _bm25(_SOME_Q, "coalesce(report_year IN (2022, 2023, 2024) AND document_type = 'annual_report', false)"),
     "r_rank_fusion": f"""WITH {_H}, g AS (SELECT query_id, chunk_id, min(lexical_rank) AS lexical_rank, min(dense_rank) AS dense_rank FROM h WHERE query_id IS NOT NULL GROUP BY ALL),
       s AS (SELECT *, coalesce(2.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS raw FROM g)
       SELECT query_id, chunk_id, lexical_rank, dense_rank, round(raw, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, chunk_id) AS INT) AS rank FROM s) WHERE rank <= 10""",
