@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from types import SimpleNamespace
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from vellum.functions.text import search_tokens
-from vellum.runtime import cut
+from vellum.runtime import cut, shared_folder
 
 K1, B = 1.5, 0.75
 PAYLOAD = "text string, page_start int, page_end int, section_path array<string>"
@@ -61,8 +63,11 @@ def top(ranked: DataFrame, group: str, order: list[Column], k: int | Column, ran
     return ranked.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-#: Chunks and postings that a task scores at once, and queries that are sent at once.
-BLOCK_CHUNKS, BLOCK_POSTINGS, BLOCK_QUERIES = 32_768, 2_000_000, 16_384
+#: Chunks and postings that a task scores at once, and queries that it holds at once.
+BLOCK_CHUNKS, BLOCK_POSTINGS, BLOCK_QUERIES = 32_768, 2_000_000, 131_072
+#: Sums that a task holds at once; share of a query's bound that its common terms may reach without being added up; slack of bounds.
+BLOCK_SUMS, COMMON, SLACK = 2_000_000, 0.8, 1e-6
+TERMS = pa.list_(pa.struct([("term", pa.int32()), ("qtf", pa.int32())]))
 COUNTED = "kept boolean, h bigint, length int, ids array<int>, tfs array<int>"
 
 
@@ -81,16 +86,16 @@ def _known_terms(batches: Iterator[pa.RecordBatch], terms: Broadcast) -> Iterato
         yield pa.RecordBatch.from_arrays([batch["chunk_id"], batch["kept"], batch["h"], pa.array(length.astype(np.int32)), *lists], names=["chunk_id", "kept", "h", "length", "ids", "tfs"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches, joined up to the bounds of a block."""
+def _blocks(batches: Iterator[pa.RecordBatch], share: float = 1) -> Iterator[pa.Table]:
+    """The batches, joined up to the bounds of a block; the first one up to a share of them, which doubles."""
     held: list[pa.RecordBatch] = []
     rows = size = 0
     for batch in batches:
         held.append(batch)
         rows, size = rows + len(batch), size + len(batch["versions"].flatten().field("ids").flatten())
-        if rows >= BLOCK_CHUNKS or size >= BLOCK_POSTINGS:
+        if rows >= share * BLOCK_CHUNKS or size >= share * BLOCK_POSTINGS:
             yield pa.Table.from_batches(held).combine_chunks()
-            held, rows, size = [], 0, 0
+            held, rows, size, share = [], 0, 0, min(1, 2 * share)
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -107,9 +112,11 @@ def _unpack(versions: pa.ListArray) -> tuple[np.ndarray, ...]:
     keys, document = np.unique((chunk * 2 + kept) * wide + length, return_inverse=True)
     ids, tfs = v.field("ids"), v.field("tfs").flatten().to_numpy()
     posting = ids.flatten().to_numpy().astype(np.int64) * max(1, len(keys)) + np.repeat(document, ids.value_lengths().to_numpy(zero_copy_only=False))
-    pairs, at = np.unique(posting, return_inverse=True)
-    term, document = np.divmod(pairs, max(1, len(keys)))
-    return length, keys // wide // 2, keys // wide % 2 == 1, keys % wide, term, document, np.bincount(at, tfs, len(pairs))
+    order = np.argsort(posting)
+    posting = posting[order]
+    first = np.flatnonzero(np.diff(posting, prepend=-1))
+    term, document = np.divmod(posting[first], max(1, len(keys)))
+    return length, keys // wide // 2, keys // wide % 2 == 1, keys % wide, term, document, np.add.reduceat(tfs[order].astype(np.float64), first) if len(first) else np.zeros(0)
 
 
 def _index_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,57 +127,209 @@ def _index_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, [-1, -2]).astype(np.int32)), pa.array(np.append(n, [len(length), length.sum()]).astype(np.int64))], names=["id", "n"])
 
 
-def _best_chunks(batches: Iterator[pa.RecordBatch], sent: Broadcast, stats: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, chunk_id, raw, near): the k best chunks of each query among those of a task; near is raw to 9 places."""
-    (names, kind, queries), (idf, average) = sent.value, stats.value
-    held, floor, key = [[] for _ in queries], [0.0] * len(queries), None
-    for block in _blocks(batches):
-        ids = block["chunk_id"].chunk(0)
-        key = ids.type
-        order = pc.sort_indices(ids)  # nulls last; within a block ties go by place
-        ids, place = ids.take(order), np.argsort(order.to_numpy())
+class _Postings:
+    """The kept postings of a block by term and chunk, with the weight of each and the largest of each term."""
+
+    def __init__(self, block: pa.Table, idf: np.ndarray, average: float):
+        self.ids = block["chunk_id"].chunk(0)
+        self.chunks = len(self.ids)
         _, chunk, kept, length, term, document, tf = _unpack(block["versions"].chunk(0))
         kept = kept[document]
         term, document, tf = term[kept], document[kept], tf[kept]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[document] / average))
-        at = place[chunk[document]]
-        starts = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
-        for q, terms in enumerate(queries):
-            parts = [(slice(starts[t], starts[t + 1]), qtf) for t, qtf in terms if starts[t] < starts[t + 1]]
-            if not parts:
-                continue
-            raw = np.bincount(np.concatenate([at[p] for p, _ in parts]), np.concatenate([weight[p] if qtf == 1 else qtf * weight[p] for p, qtf in parts]), len(ids))
-            found = np.flatnonzero(raw > floor[q])
-            near = np.round(raw[found], 9)
-            if len(found) > k:
-                good = near >= np.partition(near, -k)[-k]
-                found, near = found[good], near[good]
-                first = np.argsort(-near, kind="stable")[:k]
-                found, near = found[first], near[first]
-            if len(found):
-                fresh = ((-s, name is None, name, r) for s, name, r in zip(near.tolist(), ids.take(pa.array(found)).to_pylist(), raw[found].tolist()))
-                held[q] = sorted([*held[q], *fresh])[:k]
-                if len(held[q]) == k:
-                    floor[q] = max(0.0, -held[q][-1][0] - 1e-9)
-    rows = [(names[q], name, raw, -s) for q, found in enumerate(held) for s, _, name, raw in found]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (kind, key, pa.float64(), pa.float64()))], names=["query_id", "chunk_id", "raw", "near"])
+        key = term * self.chunks + chunk[document]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.key, term = key[first], term[first]
+        self.weight = np.add.reduceat(weight, first) if len(first) else weight
+        self.chunk = (self.key - term * self.chunks).astype(np.int32)
+        self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.count = np.diff(self.starts)
+        there = np.flatnonzero(self.count)
+        self.most = np.zeros(len(idf))
+        if len(there):
+            self.most[there] = np.maximum.reduceat(self.weight, self.starts[there])
+        # terms in more than an eighth of the chunks have their weights by chunk, too
+        self.common = np.flatnonzero(self.count * 8 > self.chunks)
+        self.place = np.full(len(idf), -1)
+        self.place[self.common] = np.arange(len(self.common))
+        self.dense = np.zeros(len(self.common) * self.chunks)
+        for i, t in enumerate(self.common):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.dense[i * self.chunks + self.chunk[own]] = self.weight[own]
+
+    def sums(self, row: np.ndarray, term: np.ndarray, qtf: np.ndarray, rows: int) -> np.ndarray:
+        """Sum of weights of the terms of each row, for all chunks."""
+        n = self.count[term]
+        at = np.repeat(self.starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        weight = self.weight[at]
+        if (qtf != 1).any():
+            weight *= np.repeat(qtf, n)
+        return np.bincount(np.repeat(row * self.chunks, n) + self.chunk[at], weight, rows * self.chunks)
+
+    def weights(self, term: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """The weight of each term in each chunk, 0 where it isn't."""
+        out, place = np.zeros(len(term)), self.place[term]
+        near = place >= 0
+        out[near] = self.dense[place[near] * self.chunks + chunk[near]]
+        far = np.flatnonzero(~near)
+        if len(far) and len(self.key):
+            key = term[far] * self.chunks + chunk[far]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            out[far] = np.where(self.key[at] == key, self.weight[at], 0)
+        return out
+
+
+class _Best:
+    """The k best chunks of each query so far; equal ones by id, null last."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.ids, self.seen = k, [], 0
+        self.near, self.raw, self.at = np.zeros((queries, k)), np.zeros((queries, k)), np.full((queries, k), -1)
+        self.floor = np.zeros(queries)
+
+    def add(self, query: np.ndarray, chunk: np.ndarray, raw: np.ndarray) -> None:
+        """Chunks of the last block of ids, by place in it; a query comes in one call a block."""
+        own = np.unique(query)
+        held, place = np.nonzero(self.at[own] >= 0)
+        held = own[held]
+        query, at = np.append(held, query), np.append(self.at[held, place], chunk + self.seen - len(self.ids[-1]))
+        near, raw = np.append(self.near[held, place], np.round(raw, 9)), np.append(self.raw[held, place], raw)
+        known, again = np.unique(at, return_inverse=True)
+        rank = np.empty(len(known), np.int64)
+        rank[pc.sort_indices(self.take(known)).to_numpy()] = np.arange(len(known))
+        order = np.lexsort((rank[again], -near, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order, query, place = order[place < self.k], query[place < self.k], place[place < self.k]
+        self.near[query, place], self.raw[query, place], self.at[query, place] = near[order], raw[order], at[order]
+        full = own[self.at[own, -1] >= 0]
+        self.floor[full] = np.maximum(0, self.near[full, -1] - 1e-9)
+
+    def take(self, at: np.ndarray) -> pa.Array:
+        found = pa.chunked_array(self.ids).take(pa.array(at))
+        return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def _best_chunks(batches: Iterator[pa.RecordBatch], sent: Broadcast, stats: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, chunk_id, raw, near): the k best of the chunks for each query; near is raw to 9 places.
+
+    A chunk that has only terms whose largest weights sum up to less than the k-th best score so far
+    can't come in: of each query, common terms up to a share of it are not added up for all chunks,
+    but looked up for those that could come in still.
+    """
+    (names, kind, queries), (idf, average) = sent.value, stats.value
+    names, queries = (x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((names, kind), (queries, TERMS)))
+    size = queries.value_lengths().to_numpy(zero_copy_only=False)
+    query, pairs = np.repeat(np.arange(len(size)), size), queries.flatten()
+    term, qtf = (pairs.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.lexsort((term, idf[term], query))  # common terms first
+    term, qtf = term[order], qtf[order]
+    begin = np.cumsum(size) - size
+    best, key = _Best(len(size), k), None
+    for block in _blocks(batches, 1 / 8):
+        p = _Postings(block, idf, average)
+        key = p.ids.type
+        best.ids.append(p.ids)
+        best.seen += p.chunks
+        bound = p.most[term] * qtf
+        up_to = np.cumsum(bound)
+        up_to -= np.repeat(np.append(0, up_to)[begin], size)
+        rare = up_to > COMMON * best.floor[query] - SLACK
+        commons = np.bincount(query[~rare], minlength=len(size))
+        rest = np.bincount(query[~rare], bound[~rare], len(size))
+        asked = np.flatnonzero(rare & (bound > 0))
+        whole = rest + np.bincount(query[asked], bound[asked], len(size))
+        asked = asked[whole[query[asked]] > best.floor[query[asked]] - SLACK]
+        work = np.bincount(query[asked], p.count[term[asked]], len(size))
+        todo = np.flatnonzero(work)
+        part = np.cumsum(p.chunks + work[todo]) // BLOCK_SUMS
+        for own in np.split(todo, np.flatnonzero(np.diff(part)) + 1) if len(todo) else []:
+            at = asked[np.searchsorted(query[asked], own[0]) : np.searchsorted(query[asked], own[-1], "right")]
+            sums = p.sums(np.searchsorted(own, query[at]), term[at], qtf[at], len(own)).reshape(len(own), p.chunks)
+            floor = best.floor[own]
+            new = np.flatnonzero(floor == 0)
+            if len(new) and p.chunks > k:  # what is added up so far bounds the k-th best, too
+                floor[new] = np.maximum(0, np.partition(sums[new], -k, axis=1)[:, -k] - 2e-9)
+            row, chunk = np.divmod(np.flatnonzero(sums > np.maximum(0, floor - rest[own] - SLACK)[:, None]), p.chunks)
+            raw, left = sums[row, chunk], commons[own][row]
+            done = []
+            while len(row):
+                ended = left == 0
+                done.append((row[ended], chunk[ended], raw[ended]))
+                row, chunk, raw, left = row[~ended], chunk[~ended], raw[~ended], left[~ended] - 1
+                if len(row):
+                    at = begin[own[row]] + left
+                    raw = raw + qtf[at] * p.weights(term[at], chunk)
+                    good = raw + up_to[at] - bound[at] > floor[row] - SLACK
+                    row, chunk, raw, left = row[good], chunk[good], raw[good], left[good]
+            if done:
+                row, chunk, raw = (np.concatenate(x) for x in zip(*done))
+                good = raw > floor[row]
+                if good.any():
+                    best.add(own[row[good]], chunk[good], raw[good])
+    query, place = np.nonzero(best.at >= 0)
+    if len(query):
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), best.take(best.at[query, place]).cast(key), pa.array(best.raw[query, place]), pa.array(best.near[query, place])], names=["query_id", "chunk_id", "raw", "near"])
+
+
+def _read(files: list[str]) -> Iterator[pa.RecordBatch]:
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            yield from pq.ParquetFile(f).iter_batches(1024, columns=["chunk_id", "versions"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], files: list[str], terms: Broadcast, stats: Broadcast, k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, chunk_id, score, rank) of the queries of a task against the index in the files; equal queries are searched once."""
+    vocabulary = pa.array(terms.value, pa.string())
+
+    def found(ids: list[pa.Array], bags: dict[bytes, int], bag: list[int]) -> Iterator[pa.RecordBatch]:
+        counted = [np.unique(np.frombuffer(b, np.int32), return_counts=True) for b in bags]
+        ends = np.cumsum([0, *(len(t) for t, _ in counted)]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*counted)], fields=list(TERMS.value_type))
+        sent = SimpleNamespace(value=(pa.array(np.arange(len(bags))), pa.int64(), pa.ListArray.from_arrays(pa.array(ends), pairs)))
+        names, by_bag = pa.concat_arrays(ids), np.argsort(bag, kind="stable")
+        members = np.bincount(bag, minlength=len(bags))
+        first = np.cumsum(members) - members
+        for part in _best_chunks(_read(files), sent, stats, k):
+            own = part["query_id"].to_numpy()
+            rank = np.arange(len(own)) - np.searchsorted(own, own) + 1
+            for low in range(0, len(own), 65_536):  # a row a member of each
+                at = np.arange(low, min(low + 65_536, len(own)))
+                n = members[own[at]]
+                row = np.repeat(at, n)
+                member = by_bag[np.repeat(first[own[at]] - np.cumsum(n) + n, n) + np.arange(len(row))]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(member)), part["chunk_id"].take(pa.array(row)), part["raw"].take(pa.array(row)), pa.array(rank[row].astype(np.int32))], names=["query_id", "chunk_id", "raw", "rank"])
+
+    ids, bags, bag = [], {}, []
+    for batch in batches:
+        tokens = batch["tokens"]
+        own = pc.index_in(tokens.flatten(), value_set=vocabulary).to_numpy().astype(np.int32)
+        ends = np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))
+        ids.append(batch["query_id"])
+        bag += [bags.setdefault(x.tobytes(), len(bags)) for x in np.split(own, ends[:-1])]
+        if len(bag) >= most:
+            yield from found(ids, bags, bag)
+            ids, bags, bag = [], {}, []
+    if bag:
+        yield from found(ids, bags, bag)
 
 
 def bm25(queries: DataFrame, documents: DataFrame, text: Column, *, query_key: str = "query_id", query: str = "query", key: str = "chunk_id", k: int = 10, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best documents of each query.
 
     Statistics are those of the whole index, whatever `keep` filters; a term that a query
-    repeats counts as often.  The documents are cut into tokens once; what is shuffled and kept
-    of them are counts of the terms that queries have, no text.  Queries are sent in blocks; a
-    task scores its chunks against a block and keeps its own k best, so no pair of query and
-    chunk is shuffled but k rows a task and query.  The driver sees the terms that queries have.
-    An exact repeat of a row counts once.  Exact; ties go by chunk_id, null last.
+    repeats counts as often.  The documents are cut into tokens once; counts of the terms that
+    queries have, no text, are written to the shared folder, where they stay until the session
+    ends.  A task takes a part of the queries and reads all counts, block by block, so no pair
+    of query and chunk is shuffled; what can't come in by its bounds is not added up.  The
+    driver sees the terms that queries have.  An exact repeat of a row counts once, queries of
+    the same terms are searched once.  Exact; ties go by chunk_id, null last.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
-    wanted = cut(queries.select(F.col(query_key).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("qtf")))
-    terms = sorted(r["term"] for r in wanted.select("term").distinct().toLocalIterator())
+    each = cut(queries.groupBy(F.col(query_key).alias("query_id")).agg(F.sort_array(F.flatten(F.collect_list(search_tokens(F.col(query))))).alias("tokens")).where(F.size("tokens") > 0))
+    terms = sorted(r["term"] for r in each.select(F.explode("tokens").alias("term")).distinct().toLocalIterator())
     vocabulary = sc.broadcast(terms)
     kind = documents.select(F.col(key)).schema[0].dataType.simpleString()
     # a null leaves the hash as it is, so its place goes in, too
@@ -179,20 +338,21 @@ def bm25(queries: DataFrame, documents: DataFrame, text: Column, *, query_key: s
     counted = rows.mapInArrow(lambda batches: _known_terms(batches, vocabulary), f"chunk_id {kind}, {COUNTED}")
     tasks = 2 * sc.defaultParallelism
     spread = counted.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk_id")
-    index = cut(spread.groupBy("chunk_id").agg(F.collect_set(F.struct("kept", "h", "length", "ids", "tfs")).alias("versions"))).coalesce(tasks)
+    folder = f"{shared_folder(spark).rstrip('/')}/vellum-index-{uuid4().hex}"
+    spread.groupBy("chunk_id").agg(F.collect_set(F.struct("kept", "h", "length", "ids", "tfs")).alias("versions")).coalesce(tasks).write.parquet(folder)
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    index = spark.read.parquet(folder)
+    files = sorted(index.inputFiles())
     counts = {r["id"]: r["n"] for r in index.mapInArrow(_index_counts, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator()}
     n, tokens = counts.get(-1, 0), counts.get(-2, 0)
     df = np.array([counts.get(i, 0) for i in range(len(terms))], dtype=np.float64)
     stats = sc.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), tokens / n if tokens else 1.0))
 
-    ids, asked = {t: i for i, t in enumerate(terms)}, wanted.schema["query_id"].dataType
-    result = None
-    each = wanted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("terms")).toLocalIterator()
-    while (part := [(r["query_id"], [(ids[t], qtf) for t, qtf in r["terms"]]) for r in islice(each, BLOCK_QUERIES)]) or result is None:
-        sent = sc.broadcast(([q for q, _ in part], to_arrow_type(asked), [t for _, t in part]))
-        found = index.mapInArrow(lambda batches, sent=sent: _best_chunks(batches, sent, stats, k), f"query_id {asked.simpleString()}, chunk_id {kind}, raw double, near double")
-        result = found if result is None else result.unionByName(found)
-    return top(result, "query_id", [F.col("near").desc(), F.col("chunk_id").asc_nulls_last()], k).select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
+    asked, most = each.schema["query_id"].dataType.simpleString(), BLOCK_QUERIES
+    parts = max(sc.defaultParallelism, -(-each.count() // most))
+    found = each.repartition(parts, F.xxhash64("tokens")).mapInArrow(lambda batches: _search(batches, files, vocabulary, stats, k, most), f"query_id {asked}, chunk_id {kind}, raw double, rank int")
+    return found.select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
 
 
 def rank_fusion(ranked: DataFrame, *, group: str = "query_id", key: str = "chunk_id", weights: dict[str, float], rrf_k: int = 60, k: int = 10) -> DataFrame:
