@@ -66,7 +66,7 @@ def top(ranked: DataFrame, group: str, order: list[Column], k: int | Column, ran
 #: Chunks and postings that a task scores at once, and queries that it holds at once.
 BLOCK_CHUNKS, BLOCK_POSTINGS, BLOCK_QUERIES = 32_768, 2_000_000, 131_072
 #: Sums that a task holds at once; share of a query's bound that its common terms may reach without being added up; slack of bounds.
-BLOCK_SUMS, COMMON, SLACK = 2_000_000, 0.8, 1e-6
+BLOCK_SUMS, COMMON, SLACK = 1_000_000, 0.65, 1e-6
 TERMS = pa.list_(pa.struct([("term", pa.int32()), ("qtf", pa.int32())]))
 COUNTED = "kept boolean, h bigint, length int, ids array<int>, tfs array<int>"
 
@@ -141,7 +141,7 @@ class _Postings:
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.key, term = key[first], term[first]
         self.weight = np.add.reduceat(weight, first) if len(first) else weight
-        self.chunk = (self.key - term * self.chunks).astype(np.int32)
+        self.chunk = self.key - term * self.chunks
         self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
         self.count = np.diff(self.starts)
         there = np.flatnonzero(self.count)
@@ -160,11 +160,13 @@ class _Postings:
     def sums(self, row: np.ndarray, term: np.ndarray, qtf: np.ndarray, rows: int) -> np.ndarray:
         """Sum of weights of the terms of each row, for all chunks."""
         n = self.count[term]
-        at = np.repeat(self.starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        weight = self.weight[at]
+        own = [slice(*x) for x in zip(self.starts[term].tolist(), self.starts[term + 1].tolist())]
+        weight = np.concatenate([self.weight[x] for x in own])
         if (qtf != 1).any():
             weight *= np.repeat(qtf, n)
-        return np.bincount(np.repeat(row * self.chunks, n) + self.chunk[at], weight, rows * self.chunks)
+        cell = np.concatenate([self.chunk[x] for x in own])
+        cell += np.repeat(row * self.chunks, n)
+        return np.bincount(cell, weight, rows * self.chunks)
 
     def weights(self, term: np.ndarray, chunk: np.ndarray) -> np.ndarray:
         """The weight of each term in each chunk, 0 where it isn't."""
@@ -194,10 +196,15 @@ class _Best:
         held = own[held]
         query, at = np.append(held, query), np.append(self.at[held, place], chunk + self.seen - len(self.ids[-1]))
         near, raw = np.append(self.near[held, place], np.round(raw, 9)), np.append(self.raw[held, place], raw)
-        known, again = np.unique(at, return_inverse=True)
-        rank = np.empty(len(known), np.int64)
-        rank[pc.sort_indices(self.take(known)).to_numpy()] = np.arange(len(known))
-        order = np.lexsort((rank[again], -near, query))
+        order = np.lexsort((-near, query))
+        equal = np.flatnonzero((np.diff(near[order]) == 0) & (np.diff(query[order]) == 0))
+        if len(equal):  # ids are compared only where scores are equal
+            tied = order[np.union1d(equal, equal + 1)]
+            known, again = np.unique(at[tied], return_inverse=True)
+            rank, by_id = np.zeros(len(at), np.int64), np.empty(len(known), np.int64)
+            by_id[pc.sort_indices(self.take(known)).to_numpy()] = np.arange(len(known))
+            rank[tied] = by_id[again]
+            order = np.lexsort((rank, -near, query))
         query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         order, query, place = order[place < self.k], query[place < self.k], place[place < self.k]
